@@ -211,7 +211,7 @@ def _pairs_of_bucket(buckets: int):
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         ok = (np.abs(level[a] - level[b]) <= 4) & (node[a] != node[b])
         a, b = node[a[ok]], node[b[ok]]
-        out = _pair_blobs(a, b, buckets)
+        out = _pair_blobs(a, b, buckets // 3)
         return pd.concat([out, pd.DataFrame(large, columns=["class", "nodes"])]).reset_index(drop=True)
 
     return pair
@@ -322,7 +322,7 @@ def _across(large: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
             for rest, every in zip(batch["rest"], batch["every"]):
                 (n, r), (m, s) = ([np.array([x[c] for x in side], np.int64) for c in ("node", "root")] for side in (rest, every))
                 i, j = np.nonzero(r[:, None] != s[None, :])
-                yield _pair_blobs(n[i], m[j], buckets)
+                yield _pair_blobs(n[i], m[j], buckets // 3)
 
     return _distinct_pairs(blocks.select("rest", "every").mapInPandas(pair, "bucket int, a binary, b binary"))
 
