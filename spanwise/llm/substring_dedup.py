@@ -202,7 +202,7 @@ def repeated_ranges(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
         count, _ = _counts(d["h"], d["tag"], weight=np.where(settled, 0, d["weight"]))
         hit = settled | ((count > 1) & (d["weight"] == 1))
         key, at = d["key"][hit], d["at"][hit]
-        return blobs.pack(blobs.bucket_of(mix64(key.view(np.uint64)), buckets), {"key": key, "at": at})
+        return blobs.pack(blobs.bucket_of(mix64(key.view(np.uint64)), buckets // 3), {"key": key, "at": at})
 
     def collect(frame: pd.DataFrame) -> pd.DataFrame:
         d = blobs.unpack(frame, {"key": "i8", "at": "i4"})
