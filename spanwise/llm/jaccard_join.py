@@ -246,10 +246,9 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(fold[0] ^ fold[1]).sum())
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, frequent, percent: int) -> DataFrame:
-    """node, n, the filters' columns and the whole set, of each node in a pair."""
+def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, frequent, percent: int) -> DataFrame:
+    """node, n, the filters' columns and the whole set, of each needed node."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     keys = nodes.where("node is not null").groupBy("node").agg(F.min("key").alias("key")).join(needed, "node").select("key").distinct()
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -263,13 +262,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, frequent, percent
 
     texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(keys, "key").select("text")
     found = texts.mapInPandas(describe, "node long, n long, parity binary, second binary, third binary, tokens binary")
-    return materialize(found, "shingle-sets")
+    return materialize(found.dropDuplicates(["node"]), "shingle-sets")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, frequent, percent: int) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs that link."""
-    sets = _sets(docs, nodes, pairs, frequent, percent)
-    side = lambda s, columns: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]).dropDuplicates([s])
+    side = lambda s, columns: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
 
     @F.pandas_udf("boolean")
     def may_link(n_a: pd.Series, n_b: pd.Series, p_a: pd.Series, p_b: pd.Series, s_a: pd.Series, s_b: pd.Series, t_a: pd.Series, t_b: pd.Series) -> pd.Series:
@@ -298,31 +296,53 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, frequent, percen
     return materialize(whole.where(links("tokens_a", "tokens_b")).select("a", "b"), "similar-pairs")
 
 
-def _across(large: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of a large group between nodes outside its largest component and
-    nodes of other components, a block of each at a time."""
+def _members(large: DataFrame) -> DataFrame:
+    """(class, node) of the large groups."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for c, blob in zip(batch["class"], batch["nodes"]):
                 yield pd.DataFrame({"class": c, "node": np.frombuffer(blob, np.int64)})
 
-    member = large.mapInPandas(spread, "class long, node long").distinct().join(roots, "node", "left").select("class", "node", F.coalesce("root", "node").alias("root"))
-    member = materialize(member, "large-groups")
-    most = member.groupBy("class", "root").count().groupBy("class").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("parts"))
-    member = member.join(most.where("parts > 1"), "class")
-    packed = lambda rows, name: rows.groupBy("class", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("many") / BLOCK))).alias("block")).agg(F.collect_list(F.struct("node", "root")).alias(name))
-    size = member.groupBy("class").agg(F.count("*").alias("many"))
-    rest = member.where("root <> most")
-    rest_size = rest.groupBy("class").agg(F.count("*").alias("many"))
-    blocks = packed(rest.join(rest_size, "class"), "rest").select("class", "rest").join(packed(member.join(size, "class"), "every").select("class", "every"), "class")
+    return materialize(large.mapInPandas(spread, "class long, node long").distinct(), "large-groups")
+
+
+def _plausible(rest: list, every: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks that lie in different components and
+    that sizes and parity sketches let through."""
+    n, m = (np.array([x["n"] for x in side]) for side in (rest, every))
+    r, s = (np.array([x["root"] for x in side], np.int64) for side in (rest, every))
+    ok = (r[:, None] != s) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+    size = np.array([len(x["parity"]) for x in every])
+    for i, x in enumerate(rest):
+        for cells in np.unique(size[ok[i]]):
+            at = np.flatnonzero(ok[i] & (size == cells))
+            least = min(len(x["parity"]), int(cells))
+            fold = lambda v: np.bitwise_xor.reduce(v.reshape(len(v), -1, least), axis=1)
+            own = fold(np.frombuffer(x["parity"], np.uint8)[None])
+            others = fold(np.frombuffer(b"".join([every[j]["parity"] for j in at]), np.uint8).reshape(len(at), -1))
+            apart = np.bitwise_count(own ^ others).sum(1, dtype=np.int64)
+            ok[i, at] = apart * (100 + percent) <= (100 - percent) * (n[i] + m[at])
+    return np.nonzero(ok)
+
+
+def _across(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Pairs of a large group between nodes outside its largest component and
+    nodes of other components, a block of each at a time."""
+    member = member.join(roots, "node", "left").select("class", "node", F.coalesce("root", "node").alias("root"))
+    most = member.groupBy("class", "root").count().groupBy("class").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("many"), F.count("*").alias("parts"))
+    most = most.where("parts > 1")
+    member = materialize(member.join(most, "class").join(sets.select("node", "n", "parity"), "node"), "large-members")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BLOCK)).alias("block")
+    packed = lambda rows, name: rows.groupBy("class", block).agg(F.collect_list(F.struct("node", "root", "n", "parity")).alias(name)).drop("block")
+    blocks = packed(member.where("root <> most"), "rest").join(packed(member, "every"), "class")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rest, every in zip(batch["rest"], batch["every"]):
-                (n, r), (m, s) = ([np.array([x[c] for x in side], np.int64) for c in ("node", "root")] for side in (rest, every))
-                i, j = np.nonzero(r[:, None] != s[None, :])
-                yield _pair_blobs(n[i], m[j], buckets // 3)
+                i, j = _plausible(rest, every, percent)
+                a, b = (np.array([x["node"] for x in side], np.int64) for side in (rest, every))
+                yield _pair_blobs(a[i], b[j], buckets // 3)
 
     return _distinct_pairs(blocks.select("rest", "every").mapInPandas(pair, "bucket int, a binary, b binary"))
 
@@ -336,13 +356,15 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = _postings(docs, frequent, buckets).groupBy("bucket").applyInPandas(_pairs_of_bucket(buckets), "bucket int, a binary, b binary, class long, nodes binary")
     met = materialize(met, "met")
     pairs = materialize(_distinct_pairs(met.where("bucket is not null").select("bucket", "a", "b")), "candidate-pairs")
-    links = _links(docs, nodes, pairs, frequent, percent)
+    member = _members(met.where("class is not null").select("class", "nodes"))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(member.select("node")).distinct()
+    sets = _sets(docs, nodes, needed, frequent, percent)
+    links = _links(sets, pairs, percent)
     roots = components(links)
-    large = met.where("class is not null").select("class", "nodes")
-    if not large.isEmpty():
-        more = materialize(_across(large, roots, buckets).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    if not member.isEmpty():
+        more = materialize(_across(member, sets, roots, buckets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            roots = components(links.union(_links(docs, nodes, more, frequent, percent)))
+            roots = components(links.union(_links(sets, more, percent)))
     rooted = nodes.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     linked = rooted.where("n > 0")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
