@@ -5,8 +5,8 @@ other characters, and no merge crosses such a cut. Texts are therefore cut there
 with ``str.split`` and each piece is looked up in a cache of encoded pieces;
 pieces that are new go through the library's pre-tokenizer pattern and its BPE
 model. Texts with runs of white space or other white characters are encoded
-whole. Caches belong to a Python worker, are kept between its tasks and are
-emptied at a bounded number of entries; they never change a result.
+whole. Caches belong to a Python worker, are kept between its tasks and hold a
+bounded number of entries; they never change a result.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z|\A[ \n]")
+WORD_ENTRIES, PIECE_ENTRIES = 1_200_000, 400_000
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: The pre-tokenizer pattern of the byte-level BPE family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -39,9 +39,9 @@ class _Pieces(dict):
         self.make, self.entries = make, entries
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.entries:
-            self.clear()
-        found = self[piece] = self.make(piece)
+        found = self.make(piece)
+        if len(self) < self.entries:  # frequent pieces come early, so a full cache keeps what it has
+            self[piece] = found
         return found
 
 
@@ -60,8 +60,9 @@ class Encoder:
         self.cut = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not told.get("normalizer")
         self.size = self.tokenizer.get_vocab_size()
         self.find, self.model, self.letters = regex.compile(PATTERN).findall, self.tokenizer.model, _byte_letters()
-        self.words = _Pieces(self._word, CACHE_ENTRIES)
-        self.first, self.next = _Pieces(self._piece, CACHE_ENTRIES), _Pieces(lambda x: self._piece(" " + x), CACHE_ENTRIES)
+        self.words = _Pieces(self._word, WORD_ENTRIES)
+        self.first, self.next = _Pieces(self._piece, PIECE_ENTRIES), _Pieces(lambda x: self._piece(" " + x), PIECE_ENTRIES)
+        self.marks = frozenset(",.")
         self.newline = self._word("\n") if self.cut else b""
 
     def _word(self, word: str) -> bytes:
@@ -69,12 +70,15 @@ class Encoder:
         return np.array([t.id for t in tokens], dtype="<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join([self.words[w] for w in self.find(piece)])
+        body, words = piece[:-1], self.words
+        if piece[-1:] in self.marks and body.lstrip(" ").isalpha():  # a word and a mark, the commonest kind
+            return words[body] + words[piece[-1]]
+        return b"".join([words[w] for w in self.find(piece)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cut or _ODD.search(text):
+        if not self.cut or len(text.split()) != 1 + text.count(" ") + text.count("\n") or _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         lines, first, following = [], self.first, self.next.__getitem__
         for line in text.split("\n"):
