@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["core"]
+MODULES = ["core", "telemetry"]
 
 
 def _all() -> dict:
