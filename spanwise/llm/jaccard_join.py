@@ -260,9 +260,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, frequent, percen
                     rows.append((signature(tokens), len(tokens), _parity(tokens), *more, tokens.tobytes()))
                 yield pd.DataFrame(rows, columns=["node", "n", "parity", "second", "third", "tokens"])
 
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(keys, "key").select("text")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(keys, "key").dropDuplicates(["key"]).select("text")
     found = texts.mapInPandas(describe, "node long, n long, parity binary, second binary, third binary, tokens binary")
-    return materialize(found.dropDuplicates(["node"]), "shingle-sets")
+    return materialize(found, "shingle-sets")
 
 
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
