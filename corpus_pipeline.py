@@ -20,6 +20,8 @@ from spanwise.session import load, materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Expectation-maximisation, similarity joins and random draws are not SQL.
 ORACLE_SQL = None
+#: Executors hold what five stages leave behind, so the encoder keeps few words.
+CACHE_ENTRIES = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix with their places in training sequences."""
-    return packing.packed(docs)
+    return packing.packed(docs, entries=CACHE_ENTRIES)
 
 
 STAGES = [

@@ -53,7 +53,7 @@ def unpack(frame: pd.DataFrame, columns: dict[str, str]) -> dict[str, np.ndarray
 class Buffer:
     """Gathers records of several batches so that a flush fills its blobs."""
 
-    def __init__(self, names: list[str], limit: int = 1_000_000) -> None:
+    def __init__(self, names: list[str], limit: int = 500_000) -> None:
         self.names, self.limit, self.size = names, limit, 0
         self.parts: list[tuple[np.ndarray, ...]] = []
 
@@ -72,7 +72,7 @@ class Buffer:
         return out
 
 
-def slices(frame: pd.DataFrame, column: str, limit: int = 8_000_000) -> Iterator[pd.DataFrame]:
+def slices(frame: pd.DataFrame, column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """A batch in parts of about ``limit`` characters, so that very long texts
     do not multiply the memory of the arrays made from them."""
     length = frame[column].str.len().fillna(0).to_numpy()

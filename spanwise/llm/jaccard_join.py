@@ -109,7 +109,7 @@ def frequent_tokens(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     buckets = blobs.bucket_count(nodes.sparkSession)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = blobs.Buffer(["token"], 4_000_000)
+        held = blobs.Buffer(["token"], 2_000_000)
 
         def flush() -> pd.DataFrame:
             token, n = np.unique(held.take()["token"], return_counts=True)

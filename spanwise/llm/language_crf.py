@@ -263,7 +263,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model, rows = shared.value, []
         if not model.labels:
             return pd.DataFrame({"lang_pred": ["und"] * len(text), "score": 0.0, "n_switches": 0})
-        for part in blobs.slices(pd.DataFrame({"text": text}), "text", 4_000_000):
+        for part in blobs.slices(pd.DataFrame({"text": text}), "text", 2_000_000):
             for _, posterior in label_words(model, part["text"].tolist()):
                 if not len(posterior):
                     rows.append(("und", 0.0, 0))

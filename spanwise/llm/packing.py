@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwise.llm.tokens import default_path, encoder
+from spanwise.llm.tokens import ENTRIES, default_path, encoder
 from spanwise.session import load
 
 LENGTH = 2_048
@@ -87,12 +87,13 @@ def pack(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end: int = END) -> DataFrame:
-    """Pieces of docs (doc_id, text) with their places, in SCHEMA."""
+def packed(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end: int = END, entries: int = ENTRIES) -> DataFrame:
+    """Pieces of docs (doc_id, text) with their places, in SCHEMA; entries bounds
+    the encoder's cache in each worker and changes no result."""
     path = path or default_path()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode
+        encode = encoder(path, entries).encode
         tail = np.array([end], dtype="<u4").tobytes()
         base, done = TaskContext.get().partitionId() << 32, 0
         ids: list[bytes] = []

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-WORD_ENTRIES, PIECE_ENTRIES = 1_200_000, 400_000
+ENTRIES = 600_000  #: words that a worker keeps; it keeps half as many pieces of each kind
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: The pre-tokenizer pattern of the byte-level BPE family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,7 +48,7 @@ class _Pieces(dict):
 class Encoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, entries: int = ENTRIES) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -60,8 +60,8 @@ class Encoder:
         self.cut = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not told.get("normalizer")
         self.size = self.tokenizer.get_vocab_size()
         self.find, self.model, self.letters = regex.compile(PATTERN).findall, self.tokenizer.model, _byte_letters()
-        self.words = _Pieces(self._word, WORD_ENTRIES)
-        self.first, self.next = _Pieces(self._piece, PIECE_ENTRIES), _Pieces(lambda x: self._piece(" " + x), PIECE_ENTRIES)
+        self.words = _Pieces(self._word, entries)
+        self.first, self.next = _Pieces(self._piece, entries // 2), _Pieces(lambda x: self._piece(" " + x), entries // 2)
         self.marks = frozenset(",.")
         self.newline = self._word("\n") if self.cut else b""
 
@@ -87,10 +87,10 @@ class Encoder:
         return self.newline.join(lines)
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, entries: int = ENTRIES) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return Encoder(path)
+    return Encoder(path, entries)
 
 
 def default_path() -> str:

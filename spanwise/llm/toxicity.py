@@ -304,7 +304,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             _readers.clear()
             _readers[model.name] = Reader(model.landmarks)
         weight, (a, b) = model.root @ model.weight, model.curve
-        for part in blobs.slices(pd.DataFrame({"text": text}), "text", 4_000_000):
+        for part in blobs.slices(pd.DataFrame({"text": text}), "text", 2_000_000):
             for values in _readers[model.name].near(part["text"].tolist()):
                 # a text without such words has the zero vector
                 margin = max(float((values @ weight).max()), 0.0) if len(values) else 0.0
