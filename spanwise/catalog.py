@@ -1,19 +1,19 @@
 """All registered queries of the interval operators and their DuckDB SQL.
 
-Each module of ``spanwise.plans`` holds ``QUERIES``: name to (query, sql); sql
+Each of ``MODULES`` holds ``QUERIES``: name to (query, sql); sql
 is None where SQL cannot express the operator."""
 
 from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["core", "telemetry"]
+MODULES = ["plans.core", "plans.telemetry", "plans.episodes", "streaming.telemetry"]
 
 
 def _all() -> dict:
     found: dict = {}
     for module in MODULES:
-        for name, pair in import_module(f"spanwise.plans.{module}").QUERIES.items():
+        for name, pair in import_module(f"spanwise.{module}").QUERIES.items():
             if name in found:
                 raise ValueError(f"{name} is registered twice")
             found[name] = pair
