@@ -19,9 +19,10 @@ speed) alone, as every order gives the same links. The list of frequent tokens
 has at most ``FREQUENT`` entries and is the only thing broadcast.
 
 Large groups of near copies: in a group of more than ``PAIRWISE`` nodes each is
-compared with 16 leaders (least node hashes). Frequent tokens are salted; leaders
-are then those under a hash threshold, and each part of the group gets them.
-After the links found so far are joined into components, nodes outside a
+compared with 16 leaders (least node hashes). Frequent tokens are salted by their
+frequency over all rows, which says nothing of how many nodes post them; leaders
+are then those under a hash threshold, each part of the group gets them, and a
+part counts as one of a large group however few nodes it has. After the links found so far are joined into components, nodes outside a
 group's largest component are compared with all nodes of other components, in
 blocks: so no link that would join two components is missed, and pairs within a
 component, which change nothing, are not made.
@@ -168,14 +169,14 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
                     group = mix64(first) & ~np.uint64(0xFFFF)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, first), len(known) - 1)
-                        parts = np.where(known[at] == first, np.minimum(count[at] // SALT_ABOVE, 65_535), 0)
+                        parts = np.where(known[at] == first, np.minimum(count[at] // SALT_ABOVE, 65_534), 0)
                         if parts.any():
                             h = int(_node_hash(np.array([node]))[0])
                             wide = parts > 0
                             salted = []
                             for g, p, c in zip(group[wide].tolist(), parts[wide].tolist(), count[at][wide].tolist()):
                                 leads = h < 2**64 * 4 * LEADERS // c
-                                salted += [g | s for s in (range(p + 1) if leads else (h % (p + 1),))]
+                                salted += [g | (s + 1) for s in (range(p + 1) if leads else (h % (p + 1),))]
                             group = np.concatenate([group[~wide], np.array(salted, dtype=np.uint64)])
                     level = _level(np.array([len(tokens)]))
                     if held.add(group, np.full(len(group), node), np.repeat(level, len(group))):
@@ -207,6 +208,9 @@ def _pairs_of_bucket(buckets: int):
             leaders = members[np.argsort(_node_hash(node[members]), kind="stable")[:LEADERS]]
             left.append(np.repeat(leaders, len(members)))
             right.append(np.tile(members, len(leaders)))
+        salted = (group[cut[:-1]] & np.uint64(0xFFFF)) > 0  # parts meet in _across alone
+        for k in np.flatnonzero((size > PAIRWISE) | salted):
+            members = np.arange(cut[k], cut[k + 1])
             large += [(int(group[cut[k]] >> np.uint64(16)), node[members[s : s + BLOCK]].tobytes()) for s in range(0, len(members), BLOCK)]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         ok = (np.abs(level[a] - level[b]) <= 4) & (node[a] != node[b])

@@ -62,6 +62,19 @@ def test_given_documents(spark, sf_dir):
     check(spark, [tuple(r) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()])
 
 
+def test_few_nodes_under_a_frequent_token(spark, monkeypatch):
+    """A passage of many rows that makes up the texts of few: its tokens are split
+    into parts by the rows, and the few nodes still meet."""
+    monkeypatch.setattr(jaccard_join, "SALT_ABOVE", 4)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage = word(100)
+    rows = [(i, " ".join(passage + word(5))) for i in range(6)]
+    rows += [(1000 + i, " ".join(word(300) + passage + word(300))) for i in range(400)]
+    check(spark, rows)
+
+
 def test_empty(spark):
     assert jaccard_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
