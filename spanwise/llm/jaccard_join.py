@@ -25,7 +25,7 @@ are then those under a hash threshold, each part of the group gets them, and a
 part counts as one of a large group however few nodes it has. After the links found so far are joined into components, nodes outside a
 group's largest component are compared with all nodes of other components, in
 blocks: so no link that would join two components is missed, and pairs within a
-component, which change nothing, are not made.
+component, which change nothing, are made for ``link_counts`` alone.
 
 Cases: words lower-case A-Z only; fewer than five words are one shingle, no words
 (or null) an empty set without links. Null doc_ids take part; a component whose
@@ -135,8 +135,13 @@ def frequent_tokens(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], top["n"].to_numpy(np.int64)[order]
 
 
+def _level_bound(percent: int) -> int:
+    """The most that the levels of two sets with similarity ``percent`` differ by."""
+    return int(np.log(100 / percent) * 16) + 1
+
+
 def _level(n: np.ndarray) -> np.ndarray:
-    """Sizes on a log scale: sets with similarity 0.8 differ by less than 4."""
+    """Sizes on a log scale."""
     return np.floor(np.log(np.maximum(n, 1)) * 16).astype(np.uint8)
 
 
@@ -147,7 +152,7 @@ def _node_hash(node: np.ndarray) -> np.ndarray:
 _POSTING = {"group": "u8", "node": "i8", "level": "u1"}
 
 
-def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
+def _postings(docs: DataFrame, frequent, buckets: int, percent: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +170,7 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
                     if not len(tokens) or node in seen:
                         continue
                     seen.add(node)
-                    first = prefix(tokens, 0, (known, count))
+                    first = prefix(tokens, 0, (known, count), percent)
                     group = mix64(first) & ~np.uint64(0xFFFF)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, first), len(known) - 1)
@@ -187,7 +192,9 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
     return docs.select("text").mapInPandas(emit, blobs.schema(_POSTING))
 
 
-def _pairs_of_bucket(buckets: int):
+def _pairs_of_bucket(buckets: int, percent: int):
+    bound = _level_bound(percent)
+
     def pair(frame: pd.DataFrame) -> pd.DataFrame:
         d = blobs.unpack(frame, _POSTING)
         order = np.lexsort((d["node"], d["group"]))
@@ -213,7 +220,7 @@ def _pairs_of_bucket(buckets: int):
             members = np.arange(cut[k], cut[k + 1])
             large += [(int(group[cut[k]] >> np.uint64(16)), node[members[s : s + BLOCK]].tobytes()) for s in range(0, len(members), BLOCK)]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        ok = (np.abs(level[a] - level[b]) <= 4) & (node[a] != node[b])
+        ok = (np.abs(level[a] - level[b]) <= bound) & (node[a] != node[b])
         a, b = node[a[ok]], node[b[ok]]
         out = _pair_blobs(a, b, buckets // 3)
         return pd.concat([out, pd.DataFrame(large, columns=["class", "nodes"])]).reset_index(drop=True)
@@ -311,12 +318,12 @@ def _members(large: DataFrame) -> DataFrame:
     return materialize(large.mapInPandas(spread, "class long, node long").distinct(), "large-groups")
 
 
-def _plausible(rest: list, every: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of two blocks that lie in different components and
-    that sizes and parity sketches let through."""
+def _plausible(rest: list, every: list, percent: int, within: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of two blocks that lie in different components (or,
+    with ``within``, in one) and that sizes and parity sketches let through."""
     n, m = (np.array([x["n"] for x in side]) for side in (rest, every))
     r, s = (np.array([x["root"] for x in side], np.int64) for side in (rest, every))
-    ok = (r[:, None] != s) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
+    ok = ((r[:, None] == s) if within else (r[:, None] != s)) & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m))
     size = np.array([len(x["parity"]) for x in every])
     for i, x in enumerate(rest):
         for cells in np.unique(size[ok[i]]):
@@ -330,6 +337,28 @@ def _plausible(rest: list, every: list, percent: int) -> tuple[np.ndarray, np.nd
     return np.nonzero(ok)
 
 
+def _within(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Pairs of a large group inside its components, two blocks at a time."""
+    member = member.join(roots, "node", "left").select("class", "node", F.coalesce("root", "node").alias("root"))
+    member = member.join(sets.select("node", "n", "parity"), "node")
+    many = member.groupBy("class", "root").agg(F.count("*").alias("many")).where("many > 1")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BLOCK)).alias("block")
+    packed = member.join(many, ["class", "root"]).groupBy("class", "root", block).agg(F.collect_list(F.struct("node", "root", "n", "parity")).alias("rest"))
+    packed = materialize(packed, "large-blocks")
+    other = packed.select("class", "root", F.col("block").alias("other"), F.col("rest").alias("every"))
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rest, every in zip(batch["rest"], batch["every"]):
+                i, j = _plausible(rest, every, percent, within=True)
+                a, b = (np.array([x["node"] for x in side], np.int64) for side in (rest, every))
+                a, b = a[i], b[j]
+                yield _pair_blobs(a[a != b], b[a != b], buckets // 3)
+
+    blocks = packed.join(other, ["class", "root"]).where("block <= other").select("rest", "every")
+    return _distinct_pairs(blocks.mapInPandas(pair, "bucket int, a binary, b binary"))
+
+
 def _across(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs of a large group between nodes outside its largest component and
     nodes of other components, a block of each at a time."""
@@ -351,13 +380,14 @@ def _across(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int,
     return _distinct_pairs(blocks.select("rest", "every").mapInPandas(pair, "bucket int, a binary, b binary"))
 
 
-def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def _joined(docs: DataFrame, percent: int, every_link: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs with their nodes, the links of nodes (those that make the
+    components, or all) and the roots of linked nodes."""
     spark, buckets = docs.sparkSession, blobs.bucket_count(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = materialize(_nodes(docs), "shingle-nodes")
     frequent = frequent_tokens(nodes)
-    met = _postings(docs, frequent, buckets).groupBy("bucket").applyInPandas(_pairs_of_bucket(buckets), "bucket int, a binary, b binary, class long, nodes binary")
+    met = _postings(docs, frequent, buckets, percent).groupBy("bucket").applyInPandas(_pairs_of_bucket(buckets, percent), "bucket int, a binary, b binary, class long, nodes binary")
     met = materialize(met, "met")
     pairs = materialize(_distinct_pairs(met.where("bucket is not null").select("bucket", "a", "b")), "candidate-pairs")
     member = _members(met.where("class is not null").select("class", "nodes"))
@@ -368,7 +398,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not member.isEmpty():
         more = materialize(_across(member, sets, roots, buckets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not more.isEmpty():
-            roots = components(links.union(_links(sets, more, percent)))
+            links = links.union(_links(sets, more, percent))
+            roots = components(links)
+        if every_link:
+            inside = materialize(_within(member, sets, roots, buckets, percent).join(pairs.union(more), ["a", "b"], "left_anti"), "inside-pairs")
+            links = links.union(_links(sets, inside, percent))
+    return nodes, links, roots
+
+
+def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    nodes, _, roots = _joined(docs, percent)
     rooted = nodes.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     linked = rooted.where("n > 0")
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -376,5 +416,17 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(own)
 
 
+def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and n_links of every row of docs (doc_id, text): the
+    number of other rows that it links with, copies included. All pairs of a
+    large group are compared, so it costs more than the components."""
+    nodes, links, _ = _joined(docs, percent, every_link=True)
+    copies = materialize(nodes.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")), "copies")
+    sides = links.union(links.select("b", "a")).toDF("node", "other")
+    other = sides.join(copies.select(F.col("node").alias("other"), F.col("copies").alias("linked")), "other").groupBy("node").agg(F.sum("linked").alias("linked"))
+    n = F.coalesce(F.col("copies") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links")
+    return nodes.join(copies.join(other, "node", "left"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), n)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return similar_components(load(spark, sf_dir, "documents"))

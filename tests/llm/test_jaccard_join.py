@@ -75,6 +75,33 @@ def test_few_nodes_under_a_frequent_token(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_percent_and_link_counts(spark, monkeypatch):
+    """At 50 percent, prefixes and sizes let more through than at 80; links inside
+    the component of a large group are all counted."""
+    monkeypatch.setattr(jaccard_join, "PAIRWISE", 8)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = [(1, None), (2, "x y"), (3, "x y"), (None, "x y")]
+    for i in range(10):  # one is 0.55 of the other and inside it
+        base = word(100)
+        rows += [(100 + 2 * i, " ".join(base)), (101 + 2 * i, " ".join(base[:57]))]
+    base = word(120)
+    for i in range(60):
+        near = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(0, 9))):
+            near[k] = f"v{rng.integers(0, 10**6)}"
+        rows.append((200 + i, " ".join(near)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := (t or "").split()) >= 5 else {tuple(w)} if w else set() for _, t in rows]
+    like = [[j for j, y in enumerate(sets) if j != i and x and y and 2 * len(x & y) >= len(x | y)] for i, x in enumerate(sets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard_join.link_counts(docs, 50).collect()), key=str)
+    assert got == sorted(((d, len(x), len(n)) for (d, _), x, n in zip(rows, sets, like)), key=str)
+    component = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(docs, 50).collect()}
+    assert all(component[101 + 2 * i] == 100 + 2 * i for i in range(10))
+
+
 def test_empty(spark):
     assert jaccard_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
