@@ -30,15 +30,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id (of rows
-    with equal ids one, of those without an id all)."""
-    keep = jaccard_join.similar_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").transform(_one_each)
-
-
-def _one_each(docs: DataFrame) -> DataFrame:
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null"))
+    """Of each group of linked rows the one with the least doc_id, and of several
+    such the one with the least hash; ids may repeat or be null."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text").alias("__key")
+    keep = jaccard_join.representatives(docs).select(F.col("key").alias("__key"))
+    rows = docs.select(key, *COLUMNS).join(keep, "__key", "left_semi")
+    return rows.groupBy("__key").agg(F.min(F.struct("doc_id", "text", "lang", "source", "n_chars")).alias("row")).select("row.*").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

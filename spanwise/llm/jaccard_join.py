@@ -416,6 +416,16 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return linked.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(own)
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """key (xxhash64 of doc_id and text) of one row of each component, that with
+    the least doc_id (null last) and key; a row without words is linked with rows
+    of its own id and text alone."""
+    nodes, _, roots = _joined(docs, PERCENT)
+    rooted = nodes.join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.withColumn("own", F.when(F.col("root").isNull(), F.col("key")))
+    return rooted.groupBy("root", "own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("least")).select("least.key").distinct()
+
+
 def link_counts(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and n_links of every row of docs (doc_id, text): the
     number of other rows that it links with, copies included. All pairs of a

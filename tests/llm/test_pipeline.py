@@ -36,6 +36,17 @@ def test_stages(spark, sf_dir):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed.collect()}
 
 
+def test_near_duplicates_by_row(spark, sf_dir):
+    """Ids may repeat or be null: one row of each group of linked texts stays."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, b, c, d = map(text, "abcd")
+    near = lambda t: t + " end"
+    rows = [(1, a), (1, b), (2, near(b)), (2, near(a)), (3, b), (None, c), (None, c), (None, near(c)), (None, d), (4, d), (4, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, docs, sf_dir).collect()]
+    assert len(got) == 4 and {(1, a), (1, b), (4, d)} < set(got) and {x for x in got if x[0] is None} < {(None, c), (None, near(c))}
+
+
 def test_empty(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").limit(0)
     for _, stage in p.STAGES:
