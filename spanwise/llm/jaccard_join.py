@@ -7,10 +7,13 @@ share one among their first ``size - ceil(t * size) + 1``. The join uses three
 orders and asks for a shared prefix token under each:
 
 1. Candidates: prefixes under the first order meet in buckets of tokens.
-2. Filters: a pair goes on if its prefixes under the second and third order
-   meet too (compared as 16-bit tokens, which can only let more through) and a
-   parity sketch of the sets does not rule the overlap out.
-3. Verification: the shingle sets themselves are intersected.
+2. Filters: a pair goes on if a parity sketch of its sets (about a bit or two a
+   shingle, so it moves first) does not rule the overlap out, and its prefixes
+   under the second and third order meet too (compared as 16-bit tokens, which
+   can only let more through).
+3. Verification: the shingle sets themselves are intersected. Only texts of pairs
+   that passed the sketch are fetched, and pairs already in one component are left
+   out (``link_counts`` verifies them too).
 
 The orders put frequent tokens last, so a passage that many documents share does
 not bring them together unless they consist of such passages. Frequencies come
@@ -54,6 +57,7 @@ PAIRWISE = 64
 LEADERS = 16
 SALT_ABOVE = 2_048
 BLOCK = 1_024
+SPREAD = 16
 ORDERS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], dtype=np.uint64)
 
 
@@ -92,17 +96,17 @@ def prefix(tokens: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarra
 def _nodes(docs: DataFrame) -> DataFrame:
     """docs with node (null for an empty set), n_shingles and sampled tokens."""
 
-    @F.pandas_udf("node long, n long, sample binary")
+    @F.pandas_udf("node long, n long, sample binary, parity binary")
     def describe(text: pd.Series) -> pd.DataFrame:
         rows = []
         for part in blobs.slices(pd.DataFrame({"text": text}), "text"):
             for tokens in shingle_sets(split_words(part["text"], lower=True)):
                 node = signature(tokens)
                 pick = mix64(tokens ^ np.uint64(node % 2**64)) % np.uint64(SAMPLE) == 0
-                rows.append((node if len(tokens) else None, len(tokens), tokens[pick].tobytes()))
-        return pd.DataFrame({"node": pd.array([r[0] for r in rows], dtype="Int64"), "n": [r[1] for r in rows], "sample": [r[2] for r in rows]})
+                rows.append((node if len(tokens) else None, len(tokens), tokens[pick].tobytes(), _parity(tokens)))
+        return pd.DataFrame({"node": pd.array([r[0] for r in rows], dtype="Int64")} | {c: [r[k] for r in rows] for k, c in ((1, "n"), (2, "sample"), (3, "parity"))})
 
-    return docs.withColumn("__d", describe("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "__d.node", "__d.n", "__d.sample")
+    return docs.withColumn("__d", describe("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "__d.*")
 
 
 def frequent_tokens(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +262,8 @@ def _apart(x: bytes, y: bytes) -> int:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, frequent, percent: int) -> DataFrame:
-    """node, n, the filters' columns and the whole set, of each needed node."""
+    """node, its prefixes under the second and third order and the whole set, of
+    each needed node. Texts move once, to the side of one key a node."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     keys = nodes.where("node is not null").groupBy("node").agg(F.min("key").alias("key")).join(needed, "node").select("key").distinct()
 
@@ -268,28 +273,39 @@ def _sets(docs: DataFrame, nodes: DataFrame, needed: DataFrame, frequent, percen
                 rows = []
                 for tokens in shingle_sets(split_words(batch["text"], lower=True)):
                     more = [prefix(tokens, o, shared.value, percent).astype(np.uint16).tobytes() for o in (1, 2)]
-                    rows.append((signature(tokens), len(tokens), _parity(tokens), *more, tokens.tobytes()))
-                yield pd.DataFrame(rows, columns=["node", "n", "parity", "second", "third", "tokens"])
+                    rows.append((signature(tokens), *more, tokens.tobytes()))
+                yield pd.DataFrame(rows, columns=["node", "second", "third", "tokens"])
 
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(keys, "key").dropDuplicates(["key"]).select("text")
-    found = texts.mapInPandas(describe, "node long, n long, parity binary, second binary, third binary, tokens binary")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(keys.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select("text")
+    found = texts.mapInPandas(describe, "node long, second binary, third binary, tokens binary")
     return materialize(found, "shingle-sets")
 
 
+def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs with columns of both nodes."""
+    side = lambda s: table.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sizes and parity sketches let through."""
+
+    @F.pandas_udf("boolean")
+    def may_link(n_a: pd.Series, n_b: pd.Series, p_a: pd.Series, p_b: pd.Series) -> pd.Series:
+        # J >= t means that at most (1 - t) / (1 + t) of n + m tokens are in one set alone
+        return pd.Series([100 * min(n, m) >= percent * max(n, m) and _apart(p, q) * (100 + percent) <= (100 - percent) * (n + m) for n, m, p, q in zip(n_a, n_b, p_a, p_b)], dtype=bool)
+
+    both = _sides(pairs, sketches, ["n", "parity"])
+    return materialize(both.where(may_link("n_a", "n_b", "parity_a", "parity_b")).select("a", "b"), "sketched-pairs")
+
+
 def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link."""
-    side = lambda s, columns: sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+    """The pairs that link: those whose prefixes under the other orders meet go on
+    to the comparison of whole sets."""
 
     @F.pandas_udf("boolean")
-    def may_link(n_a: pd.Series, n_b: pd.Series, p_a: pd.Series, p_b: pd.Series, s_a: pd.Series, s_b: pd.Series, t_a: pd.Series, t_b: pd.Series) -> pd.Series:
-        out = []
-        for n, m, p, q, *tokens in zip(n_a, n_b, p_a, p_b, s_a, s_b, t_a, t_b):
-            # J >= t means that at most (1 - t) / (1 + t) of n + m tokens are in one set alone
-            ok = 100 * min(n, m) >= percent * max(n, m) and _apart(p, q) * (100 + percent) <= (100 - percent) * (n + m)
-            for x, y in (tokens[:2], tokens[2:]) if ok else ():
-                ok = ok and bool(np.isin(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).any())
-            out.append(ok)
-        return pd.Series(out, dtype=bool)
+    def meet(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([bool(np.isin(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)).any()) for a, b in zip(x, y)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def links(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -300,11 +316,26 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
 
-    small = ["n", "parity", "second", "third"]
-    left = pairs.join(side("a", small), "a").join(side("b", small), "b")
-    left = materialize(left.where(may_link(*[f"{c}_{s}" for c in small for s in "ab"])).select("a", "b"), "filtered-pairs")
-    whole = left.join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b")
-    return materialize(whole.where(links("tokens_a", "tokens_b")).select("a", "b"), "similar-pairs")
+    left = _sides(pairs, sets, ["second", "third"])
+    left = materialize(left.where(meet("second_a", "second_b") & meet("third_a", "third_b")).select("a", "b"), "filtered-pairs")
+    return materialize(_sides(left, sets, ["tokens"]).where(links("tokens_a", "tokens_b")).select("a", "b"), "similar-pairs")
+
+
+def _components_of(sets: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, roots): one pair of each node is verified first, then those of the
+    rest that lie in different components, so a group of k nodes moves about k
+    pairs of sets and not k * k / 2."""
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _links(sets, first, percent)
+    roots = components(links)
+    apart = pairs.join(first, ["a", "b"], "left_anti")
+    for s in "ab":
+        apart = apart.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
+    apart = materialize(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "unjoined-pairs")
+    if apart.isEmpty():
+        return links, roots
+    links = links.union(_links(sets, apart, percent))
+    return links, components(links)
 
 
 def _members(large: DataFrame) -> DataFrame:
@@ -337,10 +368,10 @@ def _plausible(rest: list, every: list, percent: int, within: bool = False) -> t
     return np.nonzero(ok)
 
 
-def _within(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
+def _within(member: DataFrame, sketches: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs of a large group inside its components, two blocks at a time."""
     member = member.join(roots, "node", "left").select("class", "node", F.coalesce("root", "node").alias("root"))
-    member = member.join(sets.select("node", "n", "parity"), "node")
+    member = member.join(sketches, "node")
     many = member.groupBy("class", "root").agg(F.count("*").alias("many")).where("many > 1")
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BLOCK)).alias("block")
     packed = member.join(many, ["class", "root"]).groupBy("class", "root", block).agg(F.collect_list(F.struct("node", "root", "n", "parity")).alias("rest"))
@@ -359,16 +390,20 @@ def _within(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int,
     return _distinct_pairs(blocks.mapInPandas(pair, "bucket int, a binary, b binary"))
 
 
-def _across(member: DataFrame, sets: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
+def _across(member: DataFrame, sketches: DataFrame, roots: DataFrame, buckets: int, percent: int) -> DataFrame:
     """Pairs of a large group between nodes outside its largest component and
-    nodes of other components, a block of each at a time."""
+    nodes of other components, a block of each at a time. A group with many nodes
+    is dealt over ``SPREAD`` keys in both joins."""
     member = member.join(roots, "node", "left").select("class", "node", F.coalesce("root", "node").alias("root"))
     most = member.groupBy("class", "root").count().groupBy("class").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("many"), F.count("*").alias("parts"))
-    most = most.where("parts > 1")
-    member = materialize(member.join(most, "class").join(sets.select("node", "n", "parity"), "node"), "large-members")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BLOCK)).alias("block")
-    packed = lambda rows, name: rows.groupBy("class", block).agg(F.collect_list(F.struct("node", "root", "n", "parity")).alias(name)).drop("block")
-    blocks = packed(member.where("root <> most"), "rest").join(packed(member, "every"), "class")
+    most = most.where("parts > 1").select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+    member = member.withColumn("spread", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
+    member = materialize(member.join(most, ["class", "spread"]).join(sketches, "node"), "large-members")
+    many = F.ceil(F.col("many") / BLOCK)
+    block, ways = F.pmod(F.xxhash64("node"), many).alias("block"), F.least(F.lit(SPREAD), many).alias("ways")
+    packed = lambda rows, name: rows.groupBy("class", block, ways).agg(F.collect_list(F.struct("node", "root", "n", "parity")).alias(name))
+    rest = packed(member.where("root <> most"), "rest").select("class", "rest", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+    blocks = rest.join(packed(member, "every").select("class", "every", F.pmod("block", "ways").alias("way")), ["class", "way"])
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -391,18 +426,26 @@ def _joined(docs: DataFrame, percent: int, every_link: bool = False) -> tuple[Da
     met = materialize(met, "met")
     pairs = materialize(_distinct_pairs(met.where("bucket is not null").select("bucket", "a", "b")), "candidate-pairs")
     member = _members(met.where("class is not null").select("class", "nodes"))
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(member.select("node")).distinct()
-    sets = _sets(docs, nodes, needed, frequent, percent)
-    links = _links(sets, pairs, percent)
-    roots = components(links)
+    sketches = materialize(nodes.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "sketches")
+    tried = _sketched(pairs, sketches, percent)
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(docs, nodes, ends(tried), frequent, percent)
+    if every_link:
+        links = _links(sets, tried, percent)
+        roots = components(links)
+    else:
+        links, roots = _components_of(sets, tried, percent)
     if not member.isEmpty():
-        more = materialize(_across(member, sets, roots, buckets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        more = materialize(_across(member, sketches, roots, buckets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if every_link:
+            inside = _within(member, sketches, roots, buckets, percent).join(pairs, ["a", "b"], "left_anti")
+            more = materialize(more.union(inside).distinct(), "every-pair")
         if not more.isEmpty():
+            lacking = materialize(ends(more).join(sets.select("node"), "node", "left_anti"), "lacking")
+            if not lacking.isEmpty():
+                sets = sets.union(_sets(docs, nodes, lacking, frequent, percent))
             links = links.union(_links(sets, more, percent))
             roots = components(links)
-        if every_link:
-            inside = materialize(_within(member, sets, roots, buckets, percent).join(pairs.union(more), ["a", "b"], "left_anti"), "inside-pairs")
-            links = links.union(_links(sets, inside, percent))
     return nodes, links, roots
 
 
