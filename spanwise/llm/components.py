@@ -1,10 +1,12 @@
-"""Connected components of a link table, by alternating large and small stars.
+"""Connected components of a link table, by union-find in tasks and, between
+tasks, alternating large and small stars.
 
-Each round replaces the links of a node by links to the least node around it;
-the rounds end when nothing changes, after a number that grows with the
-logarithm of the longest chain. Before the first round each task merges its own
-links with a union-find and keeps one link a node. Every round is a grouped
-minimum (combined map-side) and an equi-join, written to the shared folder."""
+Links are dealt to tasks of ``LINKS`` links at most; each merges its own with a
+union-find and keeps one link a node. If there was one such task, that is the
+result. Otherwise a round replaces the links of a node by links to the least node
+around it, a grouped minimum (combined map-side) and an equi-join, and the rounds
+end when one changes nothing, after a number that grows with the logarithm of the
+longest chain. Every step is written to the shared folder."""
 
 from __future__ import annotations
 
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from spanwise.session import materialize
 
 
+#: Links that one task merges: it bounds the task's table of nodes.
+LINKS = 500_000
+
+
 def _merge_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parent: dict[int, int] = {}
 
@@ -50,12 +56,17 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the least node of the component. Only linked nodes
     appear. links: a and b (long); order, repeats and loops do not matter."""
-    now = materialize(links.select("a", "b").where("a <> b").mapInPandas(_merge_local, "a long, b long").distinct(), "links")
-    seen = None
+    seen, now = None, materialize(links.select("a", "b").where("a <> b"), "links")
+    many = now.count()
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if tuple(state) == seen or not state["n"]:
+        parts = -(-many // LINKS)
+        # dealt out by count, not by key: no node's links gather in one task
+        now = materialize(now.repartition(max(parts, 1)).mapInPandas(_merge_local, "a long, b long"), "links")
+        if parts <= 1:  # one task has seen every link
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = tuple(state)
-        star = _star(now, True)  # every row: a larger node and a smaller one
+        star = _star(now.distinct(), True)  # every row: a larger node and a smaller one
         now = materialize(_star(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "links")
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if tuple(state) == seen:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen, many = tuple(state), state["n"]

@@ -12,8 +12,7 @@ orders and asks for a shared prefix token under each:
    under the second and third order meet too (compared as 16-bit tokens, which
    can only let more through).
 3. Verification: the shingle sets themselves are intersected. Only texts of pairs
-   that passed the sketch are fetched, and pairs already in one component are left
-   out (``link_counts`` verifies them too).
+   that passed the sketch are fetched.
 
 The orders put frequent tokens last, so a passage that many documents share does
 not bring them together unless they consist of such passages. Frequencies come
@@ -316,28 +315,10 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
 
-    left = _sides(pairs, sets, ["second", "third"])
-    left = materialize(left.where(meet("second_a", "second_b") & meet("third_a", "third_b")).select("a", "b"), "filtered-pairs")
+    left = _sides(pairs, sets, ["second", "third"]).where(meet("second_a", "second_b") & meet("third_a", "third_b")).select("a", "b")
     return materialize(_sides(left, sets, ["tokens"]).where(links("tokens_a", "tokens_b")).select("a", "b"), "similar-pairs")
 
 
-def _components_of(sets: DataFrame, pairs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, roots): one pair of each node is verified first, then those of the
-    rest that lie in different components, so a group of k nodes moves about k
-    pairs of sets and not k * k / 2."""
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _links(sets, first, percent)
-    roots = components(links)
-    apart = pairs.join(first, ["a", "b"], "left_anti")
-    for s in "ab":
-        apart = apart.join(roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")), s, "left")
-    apart = materialize(apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "unjoined-pairs")
-    if apart.isEmpty():
-        return links, roots
-    links = links.union(_links(sets, apart, percent))
-    return links, components(links)
-
-
 def _members(large: DataFrame) -> DataFrame:
     """(class, node) of the large groups."""
 
@@ -430,11 +411,8 @@ def _joined(docs: DataFrame, percent: int, every_link: bool = False) -> tuple[Da
     tried = _sketched(pairs, sketches, percent)
     ends = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(docs, nodes, ends(tried), frequent, percent)
-    if every_link:
-        links = _links(sets, tried, percent)
-        roots = components(links)
-    else:
-        links, roots = _components_of(sets, tried, percent)
+    links = _links(sets, tried, percent)
+    roots = components(links)
     if not member.isEmpty():
         more = materialize(_across(member, sketches, roots, buckets, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if every_link:

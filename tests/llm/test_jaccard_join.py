@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from spanwise.llm import components as components_module
 from spanwise.llm import jaccard_join
 from spanwise.llm.components import components
 from spanwise.session import load
@@ -106,8 +107,10 @@ def test_empty(spark):
     assert jaccard_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("n", [1, 5, 60])
-def test_components(spark, n):
+@pytest.mark.parametrize("n, held", [(1, 1_000), (5, 2), (60, 20), (60, 1_000)])
+def test_components(spark, monkeypatch, n, held):
+    """With links dealt to one task and to several."""
+    monkeypatch.setattr(components_module, "LINKS", held)
     chain = [(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000), (7, 7)]
     got = {(r["node"], r["root"]) for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(1, n + 1)} | {(1001, 1000)}
