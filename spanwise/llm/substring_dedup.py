@@ -24,7 +24,7 @@ Cases: null and empty texts have no words and nothing is removed; the hash of no
 words is that of the empty string. Documents shorter than the window keep all.
 Repeated rows count as separate documents, so each removes the other's windows.
 Null or repeated doc_ids are fine: rows are told apart by id and text. Extra
-columns are carried through untouched by ``dedup_documents``.
+columns of docs, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
@@ -220,7 +220,9 @@ def repeated_ranges(candidates: DataFrame, width: int = WIDTH) -> DataFrame:
 def dedup_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, n_words, n_removed, kept_text) of the documents that lose words.
     The key is xxhash64(doc_id, text)."""
-    ranges = candidate_ranges(docs, width).groupBy("key").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    # repeated rows find the same ranges: each is held once a key
+    ranges = candidate_ranges(docs, width).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("found"))
+    ranges = ranges.select("key", F.col("found.lo").alias("los"), F.col("found.hi").alias("his"))
     left = _keyed(docs).select("__key", "text").join(ranges.withColumnRenamed("key", "__key"), "__key")
     candidates = materialize(left, "substring-candidates")
     starts = repeated_ranges(candidates, width)

@@ -49,3 +49,11 @@ def test_cases(spark):
 def test_given_documents(spark, sf_dir):
     rows = [tuple(r) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sum(r[2] > 0 for r in check(spark, rows)) > 5
+
+
+def test_repeated_rows_stay_linear(spark):
+    """Equal rows hold each candidate range once."""
+    text = " ".join(f"w{i % 90}" for i in range(400))
+    docs = spark.createDataFrame([(1, text)] * 300 + [(2, "other words")], "doc_id long, text string")
+    rows = removed_words(docs).collect()
+    assert len(rows) == 301 and {(r["doc_id"], r["n_removed"]) for r in rows} == {(1, 400), (2, 0)}
