@@ -17,13 +17,16 @@ are shuffled locally by a keyed hash.
 
 Rows of a source are spread over its blocks, so a source with a third of all
 words is a third of the blocks. Only totals of sources reach the driver: at most
-``MAX_SOURCES`` rows, above which the operator fails rather than drop any.
+``MAX_SOURCES`` rows, above which the operator fails rather than drop any (the
+tree's quotas are one number a source in every task). Their table is broadcast
+up to ``BROADCAST_SOURCES`` rows and joined by shuffle beyond.
 
 Cases: null sources are a source of their own, the last. Null and empty texts
 have size 0 and are never taken. Repeated rows count each. Ties in the hash order
 break by id, size and text hash. Equal input gives equal output on every run,
 whatever its partitions. Extra columns are kept; the names ``size``,
-``source_size``, ``target``, ``taken`` and ``takes`` are replaced.
+``source_size``, ``target``, ``taken`` and ``takes`` are replaced; names that begin
+with two underscores are the operator's own.
 """
 
 from __future__ import annotations
@@ -42,9 +45,10 @@ from spanwise.session import load, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-MAX_SOURCES = 10_000
+MAX_SOURCES = 1_000_000
+BROADCAST_SOURCES = 10_000
 BLOCK_WORDS = 65_536
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 SEED = 17
 
 
@@ -95,7 +99,7 @@ def assignments(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = SEED) ->
     shard, words) of the places where the mix holds the document."""
     spark = docs.sparkSession
     tie = [F.col("doc_id"), F.col("size"), F.xxhash64("text")]
-    sized = docs.withColumn("size", word_count())
+    sized = docs.drop("source_size", "target", "taken", "takes").withColumn("size", word_count())
     totals = sized.groupBy("source").agg(F.sum("size").alias("total")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -103,20 +107,21 @@ def assignments(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = SEED) ->
     sizes = [n for _, n in totals]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
     plan = [(source, i, n, t, *(divmod(round(t), n) if n else (0, 0)), max(1, -(-n // BLOCK_WORDS))) for i, ((source, n), t) in enumerate(zip(totals, wanted))]
-    table = spark.createDataFrame(plan, "__source string, s int, source_size long, target double, epochs long, rest long, blocks long")
-    keyed = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    keyed = keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
-    keyed = keyed.withColumn("b", F.shiftright(F.shiftrightunsigned("h", 33) * F.col("blocks"), 31))
+    table = spark.createDataFrame(plan, "__source string, __s int, source_size long, target double, __epochs long, __rest long, __blocks long")
+    table = F.broadcast(table) if len(plan) <= BROADCAST_SOURCES else materialize(table, "mix-sources")
+    keyed = sized.join(table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    keyed = keyed.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")))
+    keyed = keyed.withColumn("__b", F.shiftright(F.shiftrightunsigned("__h", 33) * F.col("__blocks"), 31))
 
     # where each block starts in its source's order: sums by 1024 blocks, then by block
-    block = materialize(keyed.groupBy("s", "b", "rest").agg(F.sum("size").alias("words")), "mix-blocks").withColumn("upper", F.shiftright("b", 10))
-    upper = block.groupBy("s", "upper").agg(F.sum("words").alias("up"))
-    upper = upper.withColumn("up_start", F.sum("up").over(Window.partitionBy("s").orderBy("upper")) - F.col("up"))
-    block = block.join(upper.drop("up"), ["s", "upper"]).withColumn(
-        "block_start", F.col("up_start") + F.sum("words").over(Window.partitionBy("s", "upper").orderBy("b")) - F.col("words")
+    block = materialize(keyed.groupBy("__s", "__b", "__rest").agg(F.sum("size").alias("words")), "mix-blocks").withColumn("__upper", F.shiftright("__b", 10))
+    upper = block.groupBy("__s", "__upper").agg(F.sum("words").alias("__up"))
+    upper = upper.withColumn("__up_start", F.sum("__up").over(Window.partitionBy("__s").orderBy("__upper")) - F.col("__up"))
+    block = block.join(upper.drop("__up"), ["__s", "__upper"]).withColumn(
+        "__block_start", F.col("__up_start") + F.sum("words").over(Window.partitionBy("__s", "__upper").orderBy("__b")) - F.col("words")
     )
-    block = materialize(block.select("s", "b", "rest", "block_start"), "mix-starts")
-    edge = {r["s"]: r["edge"] for r in block.where("block_start < rest").groupBy("s").agg(F.max("b").alias("edge")).collect()}
+    block = materialize(block.select("__s", "__b", "__rest", "__block_start"), "mix-starts")
+    edge = {r["__s"]: r["edge"] for r in block.where("__block_start < __rest").groupBy("__s").agg(F.max("__b").alias("edge")).collect()}
     quota = np.array([p[4] * p[6] + (edge.get(p[1], -1) + 1) for p in plan], dtype=np.int64)
     blocks = [p[6] for p in plan]
     shards = max(1, sum(round(t) for t in wanted) // SHARD_WORDS)
@@ -128,34 +133,35 @@ def assignments(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = SEED) ->
                 share, before = leaf(quota, shards, shard, seed)
                 for s in np.flatnonzero(share).tolist():
                     unit = (np.arange(before[s], before[s] + share[s]) * steps[s] + seed) % quota[s]
-                    yield pd.DataFrame({"s": s, "b": unit % blocks[s], "epoch": unit // blocks[s], "shard": shard})
+                    yield pd.DataFrame({"__s": s, "__b": unit % blocks[s], "epoch": unit // blocks[s], "shard": shard})
 
-    dealt = spark.range(shards).mapInPandas(deal, "s int, b long, epoch long, shard long")
-    dealt = dealt.groupBy("s", "b").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("places"))
-    place = block.join(dealt, ["s", "b"], "left").select("s", "b", "block_start", "places")
+    dealt = spark.range(shards).mapInPandas(deal, "__s int, __b long, epoch long, shard long")
+    dealt = dealt.groupBy("__s", "__b").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("__places"))
+    place = block.join(dealt, ["__s", "__b"], "left").select("__s", "__b", "__block_start", "__places")
 
-    order = Window.partitionBy("s", "b").orderBy("h", *tie).rowsBetween(Window.unboundedPreceding, -1)
-    whole = keyed.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(place, ["s", "b"])
-    left = F.col("rest") - F.col("block_start") - F.col("before")
-    words = lambda p: F.when(p["epoch"] < F.col("epochs"), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    takes = F.transform(F.coalesce("places", F.array()), lambda p: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"), words(p).alias("words")))
+    order = Window.partitionBy("__s", "__b").orderBy("__h", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    whole = keyed.withColumn("__before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(place, ["__s", "__b"])
+    left = F.col("__rest") - F.col("__block_start") - F.col("__before")
+    words = lambda p: F.when(p["epoch"] < F.col("__epochs"), F.col("size")).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), left)))
+    takes = F.transform(F.coalesce("__places", F.array()), lambda p: F.struct(p["epoch"].alias("epoch"), p["shard"].alias("shard"), words(p).alias("words")))
     whole = whole.withColumn("takes", F.filter(takes, lambda t: t["words"] > 0))
     whole = whole.withColumn("taken", F.aggregate("takes", F.lit(0).cast("long"), lambda x, t: x + t["words"]))
-    return whole.drop("s", "b", "epochs", "rest", "blocks", "h", "before", "block_start", "places")
+    return whole.drop("__s", "__b", "__epochs", "__rest", "__blocks", "__h", "__before", "__block_start", "__places")
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The rows of the mix in shuffled shards, in the columns of docs: a document
     once for each time it is taken, cut where the mix takes a part of it."""
     columns = docs.columns
-    rows = assignments(docs, weights, seed).withColumn("take", F.explode("takes"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("take.words").cast("int")), " ")
-    rows = rows.withColumn("text", F.when(F.col("take.words") < F.col("size"), part).otherwise(F.col("text")))
-    rows = rows.withColumn("__at", F.xxhash64(F.lit(seed), "take", "doc_id", F.xxhash64("text")))
-    return rows.repartition("take.shard").sortWithinPartitions("take.shard", "__at").select(*columns)
+    rows = assignments(docs, weights, seed).withColumn("__take", F.explode("takes"))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), F.col("__take.words").cast("int")), " ")
+    rows = rows.withColumn("text", F.when(F.col("__take.words") < F.col("size"), part).otherwise(F.col("text")))
+    rows = rows.withColumn("__at", F.xxhash64(F.lit(seed), "__take", "doc_id", F.xxhash64("text")))
+    return rows.repartition("__take.shard").sortWithinPartitions("__take.shard", "__at").select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     narrow = assignments(docs)
-    return narrow.select("doc_id", "size", "source_size", "target", "taken", F.size("takes").alias("n_takes"))
+    shard = F.col("takes.shard")
+    return narrow.select("doc_id", "size", "source_size", "target", "taken", F.size("takes").alias("n_takes"), F.array_min(shard).alias("first_shard"), F.array_max(shard).alias("last_shard"))

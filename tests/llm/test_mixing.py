@@ -66,3 +66,14 @@ def test_cases(spark, monkeypatch):
 
 def test_given_documents(spark, sf_dir):
     check(spark, load(spark, sf_dir, "documents"))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "one two three") for i in range(20)], "doc_id long, source string, text string")
+    names = ["s", "rest", "blocks", "epochs", "places", "h", "b", "before", "words", "take", "takes", "target"]
+    more = docs.select("*", *[F.lit(7).alias(n) for n in names])
+    got = mixing.assignments(more)
+    assert all(r[n] == 7 for r in got.collect() for n in names[:10])
+    plain = {(r["doc_id"], r["taken"], r["target"]) for r in mixing.assignments(docs).collect()}
+    assert {(r["doc_id"], r["taken"], r["target"]) for r in got.collect()} == plain
+    assert mixing.mixed(more).columns == more.columns and mixing.mixed(more).count() == mixing.mixed(docs).count()
