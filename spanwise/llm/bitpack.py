@@ -13,20 +13,21 @@ A file is, little-endian:
 
 Any range of ids is read by seeking to its blocks and unpacking them with numpy.
 
-Documents are dealt to files by ascending id: boundaries come from quantiles of
-doc_id alone, each range is one task that encodes and writes its files in order
+Documents are dealt to files by ascending (id, hash of the text): a range sort
+sets the boundaries, so rows that share an id spread over several ranges too. Each range is one task that encodes and writes its files in order
 (a new file after ``FILE_IDS`` ids), under a name that holds the attempt; the
 manifest lists the files of the attempts that succeeded, so a lost executor
 leaves an unlisted file behind and nothing else. Files go to the folder that all
 executors share, through the file system of its address.
 
 Cases: null texts are empty and give the end id alone; null doc_ids come first;
-repeated ids are ordered by text. An empty table gives no files and no rows. Extra columns
+repeated ids are ordered by a hash of the text, then the text. An empty table gives no files and no rows. Extra columns
 are not stored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -136,9 +137,14 @@ class Reader:
 def _store(address: str):
     from pyarrow import fs
 
-    if "://" not in address and not address.startswith("file:"):
-        return fs.LocalFileSystem(), address
-    return fs.FileSystem.from_uri(address)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", address))
+
+
+def _address(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme under which Spark itself finds it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(conf).makeQualified(path).toString()
 
 
 def write(docs: DataFrame, path: str | None = None, end: int = END, folder: str | None = None) -> DataFrame:
@@ -146,9 +152,7 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, folder: str
     it, address and number of ids."""
     spark, path = docs.sparkSession, path or default_path()
     folder = folder or new_path(spark, "packed-ids")
-    n = partitions(spark)
-    bounds = docs.select("doc_id").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = sorted({int(b) for b in bounds or []})
+    folder = _address(spark, folder)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = encoder(path)
@@ -178,29 +182,19 @@ def write(docs: DataFrame, path: str | None = None, end: int = END, folder: str
         close()
         yield pd.DataFrame(rows, columns=["part", "file", "address", "n_ids"])
 
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_part(bounds)(F.coalesce("doc_id", F.lit(0))))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("part", part.cast("int"))
-    dealt = dealt.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "text")
-    return dealt.select("part", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(task, "part int, file int, address string, n_ids long")
-
-
-def _part(bounds: list[int]):
-    """Number of boundaries below an id."""
-    edges = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def below(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, doc_id.to_numpy(np.int64)).astype(np.int32))
-
-    return below
+    # ranges of (id, text), so rows that share an id, or have none, are many parts
+    keys = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc(), F.asc_nulls_first("text")]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), *keys[:2]).sortWithinPartitions(*keys)
+    dealt = dealt.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return dealt.mapInPandas(task, "part int, file int, address string, n_ids long")
 
 
 def read(manifest: DataFrame, folder_of: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     before = F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    folder = folder_of and _address(manifest.sparkSession, folder_of)
     files = manifest.withColumn("base", F.coalesce(before, F.lit(0)))
     files = files.repartition(partitions(manifest.sparkSession), "address")
-    folder = folder_of
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
