@@ -113,6 +113,22 @@ def rules() -> dict[str, Column]:
     }
 
 
+def _better_than_chance(n: np.ndarray) -> np.ndarray:
+    """Rates of the votes (class, rule, vote) from their counts. On bad texts a rule
+    votes bad at least as often as on good ones, and good at most as often: where
+    the counts say otherwise the classes share one rate for that vote (the
+    likeliest under the bound), and the other votes divide what is left."""
+    rate = n / n.sum(2, keepdims=True)
+    for vote, ahead in ((0, 0), (2, 1)):
+        tied = rate[ahead, :, vote] < rate[1 - ahead, :, vote]
+        shared = n[:, :, vote].sum(0) / n.sum((0, 2))
+        left = np.where(tied, (1 - shared) / (1 - rate[:, :, vote]), 1.0)
+        others = [v for v in range(3) if v != vote]
+        rate[:, :, others] *= left[:, :, None]
+        rate[:, :, vote] = np.where(tied, shared, rate[:, :, vote])
+    return rate
+
+
 def posteriors(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Probability of good for each pattern; votes: patterns by rules, 0 1 2."""
     if not len(votes):
@@ -124,14 +140,8 @@ def posteriors(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> np.nd
     for _ in range(rounds):
         was = good
         prior = float(np.clip((weight * good).sum(), 0.01, 0.99))
-        side = []
-        for p in (1 - good, good):
-            n = np.einsum("p,prv->rv", count * p, hot) + np.array([1.0, 1.0, 1.0])
-            side.append(n / n.sum(1, keepdims=True))
-        bad_rate, good_rate = side
-        # a rule is better than chance: it votes bad at least as often on bad texts
-        bad_rate[:, 0] = np.maximum(bad_rate[:, 0], good_rate[:, 0])
-        good_rate[:, 2] = np.maximum(good_rate[:, 2], bad_rate[:, 2])
+        n = np.stack([np.einsum("p,prv->rv", count * p, hot) + 1.0 for p in (1 - good, good)])
+        bad_rate, good_rate = _better_than_chance(n)
         ratio = np.einsum("prv,rv->p", hot, np.log(good_rate) - np.log(bad_rate)) + np.log(prior / (1 - prior))
         good = 1 / (1 + np.exp(-np.clip(ratio, -60, 60)))
         if np.abs(good - was).max() < 1e-9:
@@ -141,7 +151,7 @@ def posteriors(votes: np.ndarray, count: np.ndarray, rounds: int = 200) -> np.nd
 
 def judged(described: DataFrame) -> DataFrame:
     """Adds base_failed, quality and kept to rows with the counts."""
-    spark, votes = described.sparkSession, rules()
+    spark, votes, described = described.sparkSession, rules(), described.drop("base_failed", "quality", "kept")
     code = sum((v * 3**i for i, v in enumerate(votes.values())), F.lit(0)).cast("int")
     coded = described.withColumn("__pattern", code)
     found = coded.groupBy("__pattern").count().toPandas()  # at most 3 ** 8 rows
