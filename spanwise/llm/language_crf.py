@@ -249,7 +249,7 @@ def train(docs: DataFrame) -> Model:
         return Model([], np.zeros((CELLS, 0), np.float32), np.zeros((0, 0), np.float32), {}, uuid.uuid4().hex)
     place = F.lit(1) + F.pmod("h", F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int")
     sample = known.where(F.col("h") <= F.element_at(rate, F.col("lang"))).select("lang", F.substring("text", place, F.lit(TRAIN_CHARS)).alias("text"))
-    rows = sample.orderBy("lang", "text").collect()
+    rows = sample.distinct().orderBy("lang", "text").collect()  # copies of a text count once
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

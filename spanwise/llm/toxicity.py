@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanwise.llm import blobs
 from spanwise.session import load
@@ -46,6 +47,7 @@ FLOOR = 0.3
 SHARED = 0.5
 LONGEST = 24
 TRAIN_TOXIC, TRAIN_CLEAN = 1_500, 3_000
+TRAIN_CHARS = 64_000_000
 EXCESS, TIMES = 5.0, 8.0
 CLOSE = 0.85
 CACHE_ENTRIES = 400_000
@@ -245,9 +247,10 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     toxic = np.array(labels, bool)
     if toxic.all() or not toxic.any():
         return None
-    marks = Landmarks(_choose(texts, toxic))
-    if not marks.words:
+    chosen = _choose(texts, toxic)
+    if not chosen:
         return None
+    marks = Landmarks(chosen)
     own = marks.kernel(marks.words).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
@@ -283,8 +286,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     marked = marked.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 1) / float(2**63))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     rate = F.when(F.col("toxic") == 1, TRAIN_TOXIC / max(1, counts.get(1, 1))).otherwise(TRAIN_CLEAN / max(1, counts.get(0, 1)))
-    sample = marked.where(F.col("h") < rate).select("doc_id", "toxic").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic").orderBy("text", "toxic").collect()
+    sample = marked.where(F.col("h") < rate).select("doc_id", "toxic", "h").orderBy("h", "doc_id").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "h").distinct()
+    # repeated ids bring more texts: the rows and characters on the driver are bounded all the same
+    found = found.orderBy("h", "doc_id", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
+    so_far = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id", "text"))
+    rows = found.withColumn("__chars", so_far).where(F.col("__chars") <= TRAIN_CHARS).select("text", "toxic").orderBy("text", "toxic").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
