@@ -33,7 +33,9 @@ def fit_two(df: DataFrame, keys: list[str], y: str, a: str, b: str) -> DataFrame
     det = aa * bb - ab * ab
     good = det > 1e-9 * aa * bb
     u, v = F.when(good, (bb * ay - ab * by) / det), F.when(good, (aa * by - ab * ay) / det)
-    first = F.coalesce(F.try_divide(ay * ay, aa), F.lit(0.0)) >= F.coalesce(F.try_divide(by * by, bb), F.lit(0.0))
+    # one term alone takes off the square of its product with y, if that is positive
+    gain = lambda top, low: F.coalesce(F.try_divide(F.greatest(top, F.lit(0.0)) ** 2, low), F.lit(0.0))
+    first = gain(ay, aa) >= gain(by, bb)
     g = g.withColumn("__u", u).withColumn("__v", v).withColumn("__in", F.coalesce((F.col("__u") >= 0) & (F.col("__v") >= 0), F.lit(False)))
     alone = lambda use, top, low: F.when(use, F.greatest(F.try_divide(top, low), F.lit(0.0))).otherwise(0.0)
     return g.select(*keys, F.when(F.col("__in"), F.col("__u")).otherwise(alone(first, ay, aa)).alias("u"), F.when(F.col("__in"), F.col("__v")).otherwise(alone(~first, by, bb)).alias("v"))

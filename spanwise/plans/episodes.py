@@ -264,7 +264,7 @@ SELECT series, round(short_pct, 6) AS short_pct, evidence, 'observe' AS advice F
     "GS4_mean_rate": (gs4, READ + ", g AS (SELECT l_suppkey, sum(volume) AS v, sum(24.0 * (en - st)) AS h, count(*) AS support FROM diff GROUP BY 1) SELECT l_suppkey, support, CASE WHEN support >= 5 THEN round(least(greatest(v / h, 0.02), 0.5), 6) END AS rate, CASE WHEN support < 5 THEN 'few readings' ELSE 'usable' END AS reason FROM g"),
     "GS9_two_term_fit": (gs9, """WITH r AS (SELECT l_suppkey, l_shipdate, CAST(sum(l_extendedprice) AS DOUBLE) AS y, CAST(sum(l_quantity) AS DOUBLE) AS a, CAST(count(*) AS DOUBLE) AS b FROM lineitem GROUP BY 1, 2), g AS (SELECT l_suppkey, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb FROM r GROUP BY 1),
 f AS (SELECT *, aa * bb - ab * ab > 1e-9 * aa * bb AS ok, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS u0, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS v0 FROM g)
-SELECT l_suppkey, round(CASE WHEN ok AND u0 >= 0 AND v0 >= 0 THEN u0 WHEN ay * ay / aa >= yb * yb / bb THEN greatest(ay / aa, 0) ELSE 0 END, 3) AS u, round(CASE WHEN ok AND u0 >= 0 AND v0 >= 0 THEN v0 WHEN ay * ay / aa >= yb * yb / bb THEN 0 ELSE greatest(yb / bb, 0) END, 3) AS v FROM f"""),
+SELECT l_suppkey, round(CASE WHEN ok AND u0 >= 0 AND v0 >= 0 THEN u0 WHEN greatest(ay, 0) ** 2 / aa >= greatest(yb, 0) ** 2 / bb THEN greatest(ay / aa, 0) ELSE 0 END, 3) AS u, round(CASE WHEN ok AND u0 >= 0 AND v0 >= 0 THEN v0 WHEN greatest(ay, 0) ** 2 / aa >= greatest(yb, 0) ** 2 / bb THEN 0 ELSE greatest(yb / bb, 0) END, 3) AS v FROM f"""),
     "GS13_reconciled_months": (gs13, "WITH r AS (SELECT l_suppkey, strftime(l_shipdate, '%Y-%m') AS month, CAST(sum(l_extendedprice) AS DOUBLE) AS w, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, month, round(w * sum(q) OVER (PARTITION BY l_suppkey) / sum(w) OVER (PARTITION BY l_suppkey), 6) AS slice FROM r"),
     "GS15_reading_chains": (gs15, READ + """, m AS (SELECT *, CASE WHEN st = lag(en) OVER w THEN 0 ELSE 1 END AS nw FROM diff WINDOW w AS (PARTITION BY l_suppkey, l_returnflag ORDER BY st)), n AS (SELECT *, sum(nw) OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY st) AS c FROM m)
 SELECT l_suppkey, l_returnflag, strftime(min(st), '%Y-%m-%d') AS "start", strftime(max(en), '%Y-%m-%d') AS "end", round(sum(volume), 6) AS volume, count(*) AS readings FROM n GROUP BY 1, 2, c"""),

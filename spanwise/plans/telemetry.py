@@ -225,7 +225,7 @@ def ag2(spark, sf):
 
 
 def ag3(spark, sf):
-    out = metrics.quality(samples(spark, sf), "series", "ts", "value", 6 * 3600.0, 30.0 * DAY, 5.0, 2.0)
+    out = metrics.quality(samples(spark, sf), "series", "ts", "value", F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-31").cast("timestamp"), 5.0, 2.0, slowest=6 * 3600.0)
     return _rounded(out, "max_gap_s", "covered_s", "stuck_pct", "coverage", "score")
 
 
@@ -383,16 +383,19 @@ SELECT series, epoch_us(ts) AS "start", epoch_us(nxt) AS "end" FROM y WHERE kind
     "AG1_comfort": (ag1, PIECES + f"""SELECT series, round(sum(value * sec) / sum(sec), 6) AS mean, min(value) AS low, max(value) AS high, round(sum(sec), 6) AS observed_s, round({WHEN('target IS NOT NULL')}, 6) AS evaluated_s,
 round(100 * {WHEN('abs(value - target) <= 5')} / nullif(sum(CASE WHEN target IS NOT NULL THEN sec END), 0), 6) AS in_band_pct, round(100 * {WHEN('value - target > 5')} / nullif(sum(CASE WHEN target IS NOT NULL THEN sec END), 0), 6) AS above_pct,
 round(100 * {WHEN('value - target < -5')} / nullif(sum(CASE WHEN target IS NOT NULL THEN sec END), 0), 6) AS below_pct, round(sum(abs(value - target) * sec) / nullif(sum(CASE WHEN target IS NOT NULL THEN sec END), 0), 6) AS mean_abs_error,
-round({WHEN('value - target > 5', '(value - target - 5) * sec')} / 3600, 6) AS degree_hours_above, round({WHEN('value - target < -5', '(target - value - 5) * sec')} / 3600, 6) AS degree_hours_below,
+round({WHEN('value > target', '(value - target) * sec')} / 3600, 6) AS degree_hours_above, round({WHEN('value < target', '(target - value) * sec')} / 3600, 6) AS degree_hours_below,
+round(sum((value - target) * sec) FILTER (value > target) / sum(sec) FILTER (value > target), 6) AS mean_error_above, round(sum((target - value) * sec) FILTER (value < target) / sum(sec) FILTER (value < target), 6) AS mean_error_below,
 round(100 * {WHEN('target IS NOT NULL')} / sum(sec), 6) AS evaluation_pct FROM pieces GROUP BY series"""),
     "AG2_cycles": (ag2, HELD + """, x AS (SELECT *, kind IN ('click', 'view') AS on_ FROM held), y AS (SELECT *, CASE WHEN on_ = lag(on_) OVER w AND "start" = lag("end") OVER w THEN 0 ELSE 1 END AS nw FROM x WINDOW w AS (PARTITION BY series ORDER BY "start")),
 z AS (SELECT *, sum(nw) OVER (PARTITION BY series ORDER BY "start") AS run FROM y), r AS (SELECT series, run, on_, min("start") AS a, max("end") AS b FROM z GROUP BY 1, 2, 3),
 q AS (SELECT *, lead(a) OVER w AS na, lead(on_) OVER w AS no FROM r WINDOW w AS (PARTITION BY series ORDER BY a))
 SELECT series, count(*) AS starts, round(median((epoch_us(b) - epoch_us(a)) / 1e6), 6) AS median_s, round(sum((epoch_us(b) - epoch_us(a)) / 1e6), 6) AS on_s FROM q WHERE on_ AND na = b AND NOT no GROUP BY series"""),
-    "AG3_quality": (ag3, S + """, x AS (SELECT *, (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS gap, abs(lead(value) OVER w - value) AS step FROM s WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY ts)),
-y AS (SELECT series, count(*) AS samples, max(gap) AS max_gap_s, coalesce(sum(CASE WHEN gap IS NULL THEN 54000 ELSE least(gap, 54000.0) END), 0) AS covered_s, coalesce(100 * sum(CASE WHEN step = 0 AND gap <= 54000 THEN gap END) / sum(gap), 0) AS stuck_pct,
-CAST(sum(CASE WHEN step > 5 AND step * 3600 / gap > 2 THEN 1 ELSE 0 END) AS BIGINT) AS jumps FROM x GROUP BY series)
-SELECT series, samples, round(max_gap_s, 6) AS max_gap_s, round(covered_s, 6) AS covered_s, round(stuck_pct, 6) AS stuck_pct, jumps, round(least(1.0, covered_s / 2592000.0), 6) AS coverage, round(least(1.0, covered_s / 2592000.0) * (1 - 0.25 * least(1.0, jumps / 5.0)), 6) AS score FROM y"""),
+    "AG3_quality": (ag3, S + """, x AS (SELECT *, nullif((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6, 0) AS gap, lead(value) OVER w AS after FROM s WHERE value IS NOT NULL AND ts BETWEEN '2024-01-01' AND '2024-01-31' WINDOW w AS (PARTITION BY series ORDER BY ts)),
+c AS (SELECT series, greatest(60.0, 2.5 * least(21600.0, coalesce(CASE WHEN count(gap) >= 10 THEN median(gap) ELSE least(median(gap), 3 * min(gap)) END, 2592000.0))) AS cap FROM x GROUP BY 1),
+y AS (SELECT series, count(*) AS samples, max(gap) AS worst, any_value(cap) AS cap, coalesce(sum(least(gap, cap)) FILTER (gap IS NOT NULL), 0) AS covered_s, coalesce(sum(gap) FILTER (after = value AND gap <= cap), 0) AS stuck, count(*) FILTER (abs(after - value) > 5 AND abs(after - value) / gap * 3600 > 2) AS jumps FROM x JOIN c USING (series) GROUP BY 1),
+z AS (SELECT *, least(1.0, covered_s / 2592000.0) AS cover, CASE WHEN samples < 2 THEN 2592000.0 ELSE coalesce(worst, 2592000.0) END AS gap FROM y)
+SELECT series, samples, round(gap, 6) AS max_gap_s, round(covered_s, 6) AS covered_s, round(least(100.0, 100 * stuck / greatest(covered_s, 1)), 6) AS stuck_pct, jumps, round(cover, 6) AS coverage, round(cover * (1 - 0.25 * least(1.0, jumps / 5.0)), 6) AS score,
+CASE WHEN samples < 2 THEN 'insufficient_samples' ELSE concat_ws(',', CASE WHEN cover < 0.7 THEN 'low_coverage' END, CASE WHEN gap > cap THEN 'large_gap' END, CASE WHEN jumps > 0 THEN 'implausible_jumps' END) END AS flags FROM z"""),
     "AG6_cadence": (ag6, S + """, x AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, abs(value - lag(value) OVER w) AS step FROM s WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY ts))
 SELECT series, round(avg(gap), 6) AS mean_gap, round(min(gap), 6) AS min_gap, round(max(gap), 6) AS max_gap, round(median(gap), 6) AS median_gap, round(quantile_cont(gap, 0.9), 6) AS p90_gap, round(arg_max(value, ts) - arg_min(value, ts), 6) AS net_change, CAST(sum(CASE WHEN step > 5 THEN 1 ELSE 0 END) AS BIGINT) AS jumps FROM x GROUP BY series"""),
     "AG7_state_shares": (ag7, HELD + f"""SELECT series, round(100 * {WHEN("kind IN ('click', 'view')")} / sum(sec), 6) AS heating_pct, round(100 * {WHEN("kind = 'purchase'")} / sum(sec), 6) AS dhw_pct, round(100 * {WHEN("kind IN ('click', 'purchase')")} / sum(sec), 6) AS flame_pct FROM held WHERE kind <> 'error' GROUP BY series"""),
