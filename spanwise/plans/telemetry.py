@@ -66,9 +66,6 @@ def src2(spark, sf):
     return s.where(RANGE).select("series", "ts", "value").union(last).select("series", F.unix_micros("ts").alias("us"), "value")
 
 
-def src4(spark, sf):
-    return samples(spark, sf).where("value is not null").select(F.unix_seconds(F.date_trunc("hour", "ts")).alias("hour_s")).distinct()
-
 
 def src6(spark, sf):
     s = samples(spark, sf).select("series", "kind", "ts", "seq")
@@ -83,10 +80,6 @@ def src13(spark, sf):
     return come.join(old, ["series", "ts"], "left").where("known is null or not (value <=> old)").select("series", "seq", F.round("value", 6).alias("value"))
 
 
-def src16(spark, sf):
-    o = load(spark, sf, "orders").select(F.col("o_custkey").alias("device"), F.col("o_orderkey").alias("id"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.col("o_orderstatus").alias("state"))
-    return iv.transitions(o, "device", "at", "state").select("device", "id", "state")
-
 
 def prj6(spark, sf):
     flags = F.when(F.col("kind") == "click", "['CH','fl']").when(F.col("kind") == "view", "['ch']").when(F.col("kind") == "purchase", "['dhw','fl']").when(F.col("kind") == "error", "junk").otherwise("[]")
@@ -349,10 +342,8 @@ WHEN = lambda c, v="sec": f"coalesce(sum(CASE WHEN {c} THEN {v} END), 0)"  # noq
 QUERIES = {
     "SRC1_range_read": (src1, S + f"SELECT series, epoch_us(ts) AS us, value FROM s WHERE value IS NOT NULL AND {RANGE}"),
     "SRC2_with_predecessor": (src2, S + f"SELECT series, epoch_us(ts) AS us, value FROM s WHERE {RANGE} UNION ALL SELECT series, epoch_us(max(ts)), arg_max(struct_pack(v := value), ts).v FROM s WHERE ts < '2024-01-05' GROUP BY series"),
-    "SRC4_distinct_times": (src4, S + "SELECT DISTINCT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour_s FROM s WHERE value IS NOT NULL"),
     "SRC6_events_with_predecessors": (src6, S + f"SELECT series, kind, seq FROM s WHERE {RANGE} UNION ALL SELECT series, kind, arg_max(seq, ts) FROM s WHERE ts < '2024-01-05' GROUP BY series, kind"),
     "SRC13_changed_rows": (src13, S + ", i AS (SELECT *, CASE WHEN seq % 6 = 0 THEN value + 1 ELSE value END AS v2 FROM s WHERE seq % 3 = 0) SELECT i.series, i.seq, round(v2, 6) AS value FROM i LEFT JOIN s USING (series, ts) WHERE s.seq IS NULL OR v2 IS DISTINCT FROM s.value"),
-    "SRC16_snapshot_on_change": (src16, "SELECT o_custkey AS device, o_orderkey AS id, o_orderstatus AS state FROM (SELECT *, row_number() OVER w AS n, lag(o_orderstatus) OVER w AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE n = 1 OR was IS DISTINCT FROM o_orderstatus"),
     "PRJ6_purpose": (prj6, S + "SELECT CASE WHEN kind IN ('click', 'view') THEN 'heating' WHEN kind = 'purchase' THEN 'dhw' ELSE 'idle' END AS purpose, kind IN ('click', 'purchase') AS flame, count(*) AS n FROM s GROUP BY 1, 2"),
     "PRJ8_bit_flags": (prj8, S + "SELECT seq, CAST(k AS INT) & 1 AS mains, (CAST(k AS INT) >> 6) & 1 AS summer, CAST(k AS INT) & 3 AS register FROM s"),
     "PRJ11_bands": (prj11, S + "SELECT CASE WHEN raw < 5 THEN 'cold' WHEN raw < 15 THEN 'mild' ELSE 'warm' END AS band, CAST(floor(raw / 2) AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1, 2"),
