@@ -72,7 +72,7 @@ class Buffer:
         return out
 
 
-def slices(frame: pd.DataFrame, column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
+def slices(frame: pd.DataFrame, column: str, limit: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """A batch in parts of about ``limit`` characters, so that very long texts
     do not multiply the memory of the arrays made from them."""
     length = frame[column].str.len().fillna(0).to_numpy()

@@ -303,8 +303,9 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     to the comparison of whole sets."""
 
     @F.pandas_udf("boolean")
-    def meet(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bool(np.isin(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)).any()) for a, b in zip(x, y)], dtype=bool)
+    def meet(x: pd.Series, y: pd.Series, z: pd.Series, w: pd.Series) -> pd.Series:
+        common = lambda a, b: bool(np.isin(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)).any())
+        return pd.Series([common(a, b) and common(c, d) for a, b, c, d in zip(x, y, z, w)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def links(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -315,7 +316,8 @@ def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pd.Series(out, dtype=bool)
 
-    left = _sides(pairs, sets, ["second", "third"]).where(meet("second_a", "second_b") & meet("third_a", "third_b")).select("a", "b")
+    left = _sides(pairs, sets, ["second", "third"]).where(meet("second_a", "second_b", "third_a", "third_b")).select("a", "b")
+    left = materialize(left, "filtered-pairs")  # one Python worker a task, not two
     return materialize(_sides(left, sets, ["tokens"]).where(links("tokens_a", "tokens_b")).select("a", "b"), "similar-pairs")
 
 
