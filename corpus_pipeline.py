@@ -26,7 +26,8 @@ CACHE_ENTRIES = 100_000
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality_rules.judged(quality_rules.with_counts(docs.select(*COLUMNS))).where("kept").select(*COLUMNS)
+    counted = materialize(quality_rules.with_counts(docs.select(*COLUMNS)), "quality-counts")  # read twice: for the votes and for the verdicts
+    return quality_rules.judged(counted).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
