@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["plans.core", "plans.telemetry", "plans.ingest", "plans.facts", "plans.episodes", "streaming.telemetry"]
+MODULES = ["plans.core", "plans.telemetry", "plans.ingest", "plans.facts", "plans.episodes", "plans.consumption", "streaming.telemetry"]
 
 
 def _all() -> dict:

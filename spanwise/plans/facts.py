@@ -409,7 +409,7 @@ UNION ALL SELECT series, 'held', epoch_us("start"), epoch_us("end"), round(targe
     "IV9_overlap_seconds": (iv9, HELD + f""", f AS (SELECT *, lag(kind) OVER (PARTITION BY series ORDER BY ts, seq) AS was FROM s WHERE kind IN ('purchase', 'signup')), c AS (SELECT * FROM f WHERE kind IS DISTINCT FROM was), d AS (SELECT series, kind, ts AS a, coalesce(lead(ts) OVER (PARTITION BY series ORDER BY ts, seq), TIMESTAMP '{END}') AS b FROM c)
 SELECT series, round(sum((epoch_us(least(b, "end")) - epoch_us(greatest(a, "start"))) / 1e6), 6) AS overlap_s FROM d JOIN held USING (series) WHERE d.kind = 'purchase' AND held.kind = 'click' AND "start" < b AND "end" > a GROUP BY 1"""),
     "IV11_power_intervals": (iv11, HELD + f""", p AS (SELECT series, ts, CAST(k AS INT) & 1 = 1 AS pw FROM s), q AS (SELECT *, lag(pw) OVER (PARTITION BY series ORDER BY ts) AS was FROM p), r AS (SELECT series, pw, ts AS a, coalesce(lead(ts) OVER (PARTITION BY series ORDER BY ts), TIMESTAMP '{END}') AS b FROM q WHERE pw IS DISTINCT FROM was),
-al AS (SELECT series, a, b FROM r WHERE NOT pw UNION ALL SELECT series, "start", "end" FROM held WHERE kind = 'error'), m AS (SELECT *, max(b) OVER (PARTITION BY series ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM al),
+al AS (SELECT series, a, b FROM r WHERE NOT pw UNION SELECT series, "start", "end" FROM held WHERE kind = 'error'), m AS (SELECT *, max(b) OVER (PARTITION BY series ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM al),
 n AS (SELECT *, sum(CASE WHEN reach IS NULL OR epoch_us(a) - epoch_us(reach) > 120000000 THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT series, epoch_us(min(a)) AS "start", epoch_us(max(b)) AS "end" FROM n GROUP BY series, g"""),
     "IV13_first_sustained": (iv13, S + f", x AS (SELECT series, ts, lead(ts) OVER w AS one, lead(ts, 2) OVER w AS two FROM (SELECT DISTINCT series, ts FROM s WHERE ts >= '2024-01-03') WINDOW w AS (PARTITION BY series ORDER BY ts)) SELECT series, epoch_us(min(ts)) AS first_us FROM x WHERE {_sec('ts', 'one')} <= 21600 AND {_sec('one', 'two')} <= 21600 GROUP BY 1"),
     "IV14_missing_coverage": (iv14, HELD + f""", c AS (SELECT series, "start" AS a, "end" AS b FROM held WHERE kind <> 'error' UNION ALL SELECT DISTINCT series, TIMESTAMP '{END}', TIMESTAMP '{END}' FROM s), r AS (SELECT *, coalesce(max(b) OVER (PARTITION BY series ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TIMESTAMP '2024-01-01') AS reach FROM c),
