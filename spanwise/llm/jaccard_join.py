@@ -434,7 +434,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     nodes, _, roots = _joined(docs, percent)
     rooted = nodes.join(roots, "node", "left").select("doc_id", "n", "node", F.coalesce("root", "node").alias("root"))
     linked = rooted.where("n > 0")
-    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a table of its own, so that the join below can split the rows of a large component
+    least = materialize(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least-ids")
     own = rooted.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(own)
 
