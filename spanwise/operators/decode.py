@@ -113,3 +113,13 @@ def flags(text: Column) -> Column:
     """A list literal as a set of lower-case flags; anything else is empty."""
     inner = F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*\[(.*)\]\s*$", 1)
     return F.array_distinct(F.filter(F.transform(F.split(inner, ","), lambda x: F.lower(F.trim(F.regexp_replace(x, "['\"]", "")))), lambda x: x != ""))
+
+
+def on_curve(points: Column, x: Column) -> Column:
+    """The value at x of the line through points (array of structs x, y), null
+    outside of them: nothing is clamped or extrapolated."""
+    ordered = F.array_sort(points)
+    pairs = F.zip_with(F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 2, F.size(ordered)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    first = F.get(F.filter(pairs, lambda p: (p["a"]["x"] <= x) & (x <= p["b"]["x"])), F.lit(0))
+    a, b = first["a"], first["b"]
+    return a["y"] + F.coalesce(F.try_divide(x - a["x"], b["x"] - a["x"]), F.lit(0.0)) * (b["y"] - a["y"])

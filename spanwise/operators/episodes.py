@@ -100,3 +100,55 @@ def falls(df: DataFrame, key: str, ts: str, value: str, drop: float, rate: float
     rows = df.select(key, F.col(ts).alias("start"), F.lead(ts, 2).over(own).alias("end"), F.col(value).alias("a"), F.lead(value).over(own).alias("b"), F.lead(value, 2).over(own).alias("c"))
     rows = rows.where((F.col("a") > F.col("b")) & (F.col("b") > F.col("c")) & (F.col("a") - F.col("c") >= drop))
     return rows.where((F.col("a") - F.col("c")) * 3600 >= rate * seconds("start", "end")).select(key, "start", "end")
+
+
+def unconfirmed_pulses(df: DataFrame, key: str, ts: str, on: Column, purpose: str, flow: DataFrame, value: str, longest: int, window: int, rise: float) -> DataFrame:
+    """(key, start, end, purposes, baseline, peak): on-runs of at most ``longest``
+    seconds without a response. It takes a value at most ``window`` seconds before
+    the start and values until exactly ``window`` after the end; a pulse that lacks
+    either stays confirmed, and one still on at the last sample is no pulse. Times
+    must be distinct in a key. A short pulse meets few time buckets of its key's
+    values, so a hot key spreads over its buckets."""
+    own = Window.partitionBy(key).orderBy(ts)
+    rows = df.withColumn("__on", on)
+    rows = rows.withColumn("run", F.sum(F.when(F.col("__on") != F.coalesce(F.lag("__on").over(own), F.lit(False)), 1).otherwise(0)).over(own))
+    rows = rows.groupBy(key, "run", "__on").agg(F.min(ts).alias("start"), F.array_join(F.array_sort(F.collect_set(purpose)), ",").alias("purposes"))
+    rows = rows.withColumn("end", F.lead("start").over(Window.partitionBy(key).orderBy("run"))).where("__on")
+    rows = rows.where((seconds("start", "end") > 0) & (seconds("start", "end") <= longest))
+    width = longest + 2 * window
+    bucket = lambda t: F.floor(F.unix_seconds(t) / width)
+    reach = F.make_dt_interval(secs=F.lit(window))
+    pulses = rows.select(key, "start", "end", "purposes", F.explode(F.sequence(bucket(F.col("start") - reach), bucket(F.col("end") + reach))).alias("__b"))
+    at = F.col("__at")
+    found = pulses.join(flow.select(key, F.col(ts).alias("__at"), F.col(value).alias("__v"), bucket(F.col(ts)).alias("__b")), [key, "__b"])
+    before, after = (at < F.col("start")) & (at >= F.col("start") - reach), (at > F.col("start")) & (at <= F.col("end") + reach)
+    found = found.groupBy(key, "start", "end", "purposes").agg(
+        F.max(F.when(before, F.struct("__at", "__v"))).getField("__v").alias("baseline"), F.max(F.when(after, F.col("__v"))).alias("peak"), F.max(F.when(after, at)).alias("__last"))
+    return found.where((F.col("__last") == F.col("end") + reach) & (F.col("peak") - F.col("baseline") < rise)).drop("__last")
+
+
+def observed_within(df: DataFrame, observed: DataFrame, key: str, ts: str) -> DataFrame:
+    """df (key, start, end) with seen: whether an observation lies strictly inside;
+    running counts over the edges and observations of a key, without a join."""
+    edge = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(2).alias("side")), F.struct(F.col("end").alias("at"), F.lit(0).alias("side"))))
+    rows = df.select(key, "start", "end", edge.alias("e")).select(key, "start", "end", "e.*")
+    rows = rows.unionByName(observed.select(key, F.col(ts).alias("at"), F.lit(1).alias("side")), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).over(order)).where("side <> 1")
+    return rows.groupBy(key, "start", "end").agg((F.max("n") > F.min("n")).alias("seen"))
+
+
+def settings_schedule(df: DataFrame, key: str, ts: str, version: str, start: Column, end: Column) -> DataFrame:
+    """(key, start, end, version): which settings held when in [start, end) by
+    observations of them, later ones included. Between the last confirmation of the old and the first
+    observation of the new version, and before the first observation, the version
+    is null. Times must be distinct in a key."""
+    own = Window.partitionBy(key).orderBy(ts)
+    rows = df.select(key, F.col(ts).alias("at"), F.col(version).alias("v"), F.lag(version).over(own).alias("was"), F.lag(ts).over(own).alias("after"))
+    known = F.struct(F.col("at"), F.lit(0).alias("side"), F.col("v"))
+    lapse = F.when(F.col("v") != F.col("was"), F.struct(F.col("after").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(df.schema[version].dataType).alias("v")))
+    edges = rows.select(key, F.explode(F.array_compact(F.array(known, lapse))).alias("e"))
+    edges = edges.union(df.select(key).distinct().select(key, F.struct(F.lit(0).cast("timestamp").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(df.schema[version].dataType).alias("v"))))
+    last = edges.where(F.col("e.at") < end).groupBy(key, F.greatest("e.at", start).alias("start")).agg(F.max(F.struct("e.at", "e.side", "e.v")).getField("v").alias("version"))
+    at = Window.partitionBy(key).orderBy("start")
+    return runs(last.withColumn("end", F.coalesce(F.lead("start").over(at), end)), key, ["version"])
