@@ -152,3 +152,24 @@ def settings_schedule(df: DataFrame, key: str, ts: str, version: str, start: Col
     last = edges.where(F.col("e.at") < end).groupBy(key, F.greatest("e.at", start).alias("start")).agg(F.max(F.struct("e.at", "e.side", "e.v")).getField("v").alias("version"))
     at = Window.partitionBy(key).orderBy("start")
     return runs(last.withColumn("end", F.coalesce(F.lead("start").over(at), end)), key, ["version"])
+
+
+def mode_kinds(df: DataFrame, key: str, ts: str, room: str, target: str, inactive: Column, adjoining: Column, band: float) -> DataFrame:
+    """df with mode: inactive, warmup, maintenance or unknown after each row.
+
+    A raised target begins a warmup, an inactive row ends any mode, and the first
+    active row after it starts anew by its distance to the target. Those rows fix
+    the mode whatever it was, so between two of them one first reach of the target
+    (or, from unknown, of the band) decides: two windows over one exchange stand
+    in for the state machine. Null room or target reach nothing."""
+    own = Window.partitionBy(key).orderBy(ts)
+    raised = F.coalesce(adjoining & (F.col(target) > F.lag(target).over(own)), F.lit(False))
+    rows = df.withColumn("__up", raised).withColumn("__off", inactive & ~F.col("__up"))
+    anew = F.when(F.col(room) < F.col(target) - band, "warmup").when(F.col(room).isNotNull() & F.col(target).isNotNull(), "maintenance").otherwise("unknown")
+    rows = rows.withColumn("__fix", F.when(F.col("__up"), "warmup").when(F.col("__off"), "inactive").when(F.lag("__off").over(own), anew))
+    rows = rows.withColumn("__part", F.count("__fix").over(own))
+    part = Window.partitionBy(key, "__part").orderBy(ts)
+    rows = rows.withColumn("__mode", F.coalesce(F.first("__fix").over(part), F.lit("unknown")))
+    met = F.when(F.col("__mode") == "warmup", F.col(room) >= F.col(target)).when(F.col("__mode") == "unknown", F.abs(F.col(room) - F.col(target)) <= band)
+    met = F.coalesce(F.max(F.col("__fix").isNull() & met).over(part), F.lit(False))
+    return rows.withColumn("mode", F.when(met, "maintenance").otherwise(F.col("__mode"))).drop("__up", "__off", "__fix", "__part", "__mode")

@@ -4,6 +4,7 @@ observation contradicts, and settings between their confirmations."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanwise.operators import decode, episodes as ep, intervals as iv
 from spanwise.plans.telemetry import S, _rounded, _span, samples
@@ -41,6 +42,14 @@ def ev20_limits(spark, sf):
     return _rounded(samples(spark, sf).select("seq", decode.on_curve(curve, F.col("k")).alias("limit_c")), "limit_c")
 
 
+def ev14(spark, sf):
+    """Modes by the values (room) and steps of the second signal (target)."""
+    before = F.lag("ts").over(Window.partitionBy("series").orderBy("ts"))
+    rows = samples(spark, sf).withColumn("room", F.when(F.col("kind") != "signup", F.col("value"))).withColumn("target", F.floor(F.col("k") / 25) * 25)
+    rows = rows.withColumn("near", F.coalesce(iv.seconds(before, "ts") <= 86_400, F.lit(False)))
+    return ep.mode_kinds(rows, "series", "ts", "room", "target", F.col("kind") == "error", F.col("near"), 10.0).select("series", "seq", "mode")
+
+
 _IN = "g.series = q.series AND g.t"
 QUERIES = {
     "EV4_unconfirmed_pulses": (ev4, S + f""", g AS (SELECT series, epoch_us(ts) // {GRID}000000 * {GRID} AS t, max_by(kind, seq) AS kind, max_by(raw, seq) AS v FROM s WHERE kind <> 'error' GROUP BY 1, 2),
@@ -56,5 +65,11 @@ held AS (SELECT series, ts AS a, coalesce(nt, TIMESTAMP '{END}') AS b, CASE WHEN
 cl AS (SELECT series, greatest(a, TIMESTAMP '{START}') AS a, least(b, TIMESTAMP '{END}') AS b, version FROM held WHERE a < TIMESTAMP '{END}' AND b > TIMESTAMP '{START}'),
 m AS (SELECT *, CASE WHEN version IS NOT DISTINCT FROM lag(version) OVER w AND lag(a) OVER w IS NOT NULL THEN 0 ELSE 1 END AS nw FROM cl WINDOW w AS (PARTITION BY series ORDER BY a)), k AS (SELECT *, sum(nw) OVER (PARTITION BY series ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM m)
 SELECT series, version, epoch_us(min(a)) AS "start", epoch_us(max(b)) AS "end", round((epoch_us(max(b)) - epoch_us(min(a))) / 1e6, 6) AS sec FROM k GROUP BY series, run, version"""),
+    "EV14_mode_kinds": (ev14, S.replace("WITH s", "WITH RECURSIVE s") + """, n AS (SELECT series, seq, CASE WHEN kind <> 'signup' THEN value END AS room, floor(k / 25) * 25 AS target, kind = 'error' AS off_, row_number() OVER w AS i, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 86400000000, false) AS near FROM s WINDOW w AS (PARTITION BY series ORDER BY ts)),
+step AS (SELECT series, i, seq, target, CASE WHEN off_ THEN 'inactive' WHEN abs(room - target) <= 10 THEN 'maintenance' ELSE 'unknown' END AS mode FROM n WHERE i = 1
+UNION ALL SELECT n.series, n.i, n.seq, n.target, CASE WHEN n.near AND n.target > step.target THEN 'warmup' WHEN n.off_ THEN 'inactive'
+WHEN step.mode = 'inactive' THEN CASE WHEN n.room < n.target - 10 THEN 'warmup' WHEN n.room IS NOT NULL AND n.target IS NOT NULL THEN 'maintenance' ELSE 'unknown' END
+WHEN (step.mode = 'warmup' AND n.room >= n.target) OR (step.mode = 'unknown' AND abs(n.room - n.target) <= 10) THEN 'maintenance' ELSE step.mode END FROM step JOIN n ON n.series = step.series AND n.i = step.i + 1)
+SELECT series, seq, mode FROM step"""),
     "EV20_curve_limits": (ev20_limits, S + """ SELECT seq, round(CASE WHEN k BETWEEN 10 AND 40 THEN 60 - raw / 10 + (k - 10) / 30 * (40 - (60 - raw / 10)) WHEN k > 40 AND k <= 80 THEN 40 - (k - 40) * 15 / 40 END, 6) AS limit_c FROM s"""),
 }

@@ -55,3 +55,12 @@ def test_curves_are_not_extrapolated(spark):
     assert [r[0] for r in df.select(decode.on_curve(curve, F.col("x"))).collect()] == [50, 47.5, 45, 37.5, 30, None, None, None]
     one = F.array(F.struct(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")))
     assert df.select(decode.on_curve(one, F.col("x")).alias("y")).where("y is not null").count() == 0
+
+
+def test_modes_follow_the_state_machine(spark):
+    rows = [(18.0, 20.0, False), (19.6, 20.0, False), (19.0, 22.0, False), (21.9, 22.0, False), (22.0, 22.0, False), (21.0, 22.0, False), (21.0, 22.0, True), (21.0, 22.0, False), (22.5, 22.0, True),
+            (None, 22.0, False), (21.8, 22.0, False), (21.8, 23.0, True), (21.8, 23.0, True), (22.9, 23.0, False)]
+    df = spark.createDataFrame([(1, at(i), *r) for i, r in enumerate(rows)], "key long, ts timestamp, room double, target double, off boolean")
+    found = episodes.mode_kinds(df, "key", "ts", "room", "target", F.col("off"), F.lit(True), 0.5).orderBy("ts").collect()
+    u, w, m, i = "unknown", "warmup", "maintenance", "inactive"
+    assert [r["mode"] for r in found] == [u, m, w, w, m, m, i, w, i, u, m, w, i, m]
