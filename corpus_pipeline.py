@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mix with their places in training sequences."""
-    return packing.packed(docs, entries=CACHE_ENTRIES)
+    return packing.packed(docs, entries=CACHE_ENTRIES, special=True)
 
 
 STAGES = [

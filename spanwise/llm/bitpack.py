@@ -147,15 +147,16 @@ def _address(spark: SparkSession, folder: str) -> str:
     return path.getFileSystem(conf).makeQualified(path).toString()
 
 
-def write(docs: DataFrame, path: str | None = None, end: int = END, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str | None = None, end: int = END, folder: str | None = None, special: bool = False) -> DataFrame:
     """Write the ids of docs (doc_id, text); the manifest: range, file number in
-    it, address and number of ids."""
+    it, address and number of ids. With special, literals of special tokens become
+    their ids."""
     spark, path = docs.sparkSession, path or default_path()
     folder = folder or new_path(spark, "packed-ids")
     folder = _address(spark, folder)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = encoder(path)
+        made = encoder(path, special=special)
         width, tail = width_of(made.size), np.array([end], np.uint32)
         store, root = _store(folder)
         rows, now, count, writer, out, name = [], None, 0, None, None, ""
@@ -220,4 +221,4 @@ def read(manifest: DataFrame, folder_of: str | None = None) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "packed-ids")
-    return read(materialize(write(load(spark, sf_dir, "documents"), folder=folder), "packed-manifest"), folder)
+    return read(materialize(write(load(spark, sf_dir, "documents"), folder=folder, special=True), "packed-manifest"), folder)

@@ -87,13 +87,14 @@ def pack(lengths: list[int], capacity: int = LENGTH) -> list[tuple[int, int, int
     return out
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end: int = END, entries: int = ENTRIES) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end: int = END, entries: int = ENTRIES, special: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text) with their places, in SCHEMA; entries bounds
-    the encoder's cache in each worker and changes no result."""
+    the encoder's cache in each worker and changes no result; with special, literals
+    of special tokens become their ids."""
     path = path or default_path()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path, entries).encode
+        encode = encoder(path, entries, special).encode
         tail = np.array([end], dtype="<u4").tobytes()
         base, done = TaskContext.get().partitionId() << 32, 0
         ids: list[bytes] = []
@@ -130,4 +131,4 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = LENGTH, end
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return packed(load(spark, sf_dir, "documents"))
+    return packed(load(spark, sf_dir, "documents"), special=True)

@@ -5,7 +5,9 @@ other characters, and no merge crosses such a cut. Texts are therefore cut there
 with ``str.split`` and each piece is looked up in a cache of encoded pieces;
 pieces that are new go through the library's pre-tokenizer pattern and its BPE
 model. Texts with runs of white space or other white characters are encoded
-whole. Caches belong to a Python worker, are kept between its tasks and hold a
+whole. With ``special``, the literal of a special token becomes its id, as in a plain
+call of the library, and texts that hold one are encoded whole; without it such a
+literal is ordinary text. Caches belong to a Python worker, are kept between its tasks and hold a
 bounded number of entries; they never change a result.
 """
 
@@ -48,16 +50,17 @@ class _Pieces(dict):
 class Encoder:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, entries: int = ENTRIES) -> None:
+    def __init__(self, path: str, entries: int = ENTRIES, special: bool = False) -> None:
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         first = told.get("pre_tokenizer") or {}
         self.cut = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not told.get("normalizer")
+        self.literals = [t["content"] for t in told.get("added_tokens") or []] if special else []
         self.size = self.tokenizer.get_vocab_size()
         self.find, self.model, self.letters = regex.compile(PATTERN).findall, self.tokenizer.model, _byte_letters()
         self.words = _Pieces(self._word, entries)
@@ -78,7 +81,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.cut or len(text.split()) != 1 + text.count(" ") + text.count("\n") or _ODD.search(text):
+        if not self.cut or len(text.split()) != 1 + text.count(" ") + text.count("\n") or _ODD.search(text) or any(x in text for x in self.literals):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         lines, first, following = [], self.first, self.next.__getitem__
         for line in text.split("\n"):
@@ -88,9 +91,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str, entries: int = ENTRIES) -> Encoder:
+def encoder(path: str, entries: int = ENTRIES, special: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    return Encoder(path, entries)
+    return Encoder(path, entries, special)
 
 
 def default_path() -> str:
