@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["plans.core", "plans.telemetry", "plans.ingest", "plans.facts", "plans.episodes", "plans.consumption", "plans.observations", "streaming.telemetry"]
+MODULES = ["plans.core", "plans.telemetry", "plans.ingest", "plans.facts", "plans.episodes", "plans.consumption", "plans.observations", "plans.scalars", "streaming.telemetry", "streaming.state"]
 
 
 def _all() -> dict:
