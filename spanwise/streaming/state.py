@@ -56,7 +56,9 @@ def outages(rows: DataFrame, timeout: int = TIMEOUT) -> DataFrame:
             state.setTimeoutTimestamp(max(-(-(opened + timeout) // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["series", "lost_us", "state", "at_us"])
 
-    found = rows.where("kind in ('loss', 'restore')").select("series", "ts", F.unix_micros("ts").alias("us"), (F.col("kind") == "loss").alias("loss"))
+    # it reads ts, so it stays above the watermark: rows of all kinds move the time
+    ours = F.when(F.col("ts").isNotNull(), F.col("kind").isin("loss", "restore"))
+    found = rows.where(ours).select("series", "ts", F.unix_micros("ts").alias("us"), (F.col("kind") == "loss").alias("loss"))
     return found.groupBy("series").applyInPandasWithState(step, OUTAGE, KNOWN, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -65,11 +65,12 @@ def test_outages_span_batches(spark, tmp_path):
         [(1, at(1), "restore"), (2, at(3), "restore"), (4, at(3.5), "loss")],  # 1 is restored in time
         [(5, at(10), "restore"), (3, at(9), "loss")],  # 3 and 4 are open past their timers
         [(3, at(12), "restore"), (6, at(12), "loss")],  # 6 is open, but not for long
+        [(7, at(16), "other"), (8, at(15), "loss")],  # a row of another kind moves the time past 6's timer
     ]
     rows = stream(spark, str(tmp_path), batches, "series long, ts timestamp, kind string").withWatermark("ts", "60 minutes")
     us = lambda h: int((at(h) - datetime(1970, 1, 1)).total_seconds() * 1e6)
     got = sorted(tuple(r) for r in drain(state.outages(rows), "t-outages", "append").collect())
-    assert got == sorted([(2, us(0), "lost", us(2)), (2, us(0), "restored", us(3)), (3, us(0), "lost", us(2)), (3, us(0), "restored", us(12)), (4, us(3.5), "lost", us(5.5))])
+    assert got == sorted([(2, us(0), "lost", us(2)), (2, us(0), "restored", us(3)), (3, us(0), "lost", us(2)), (3, us(0), "restored", us(12)), (4, us(3.5), "lost", us(5.5)), (6, us(12), "lost", us(14))])
 
 
 def test_setting_changes_span_batches(spark, tmp_path):
