@@ -15,6 +15,7 @@ _MODULES = {
     "op8_substring_dedup": "substring_dedup",
     "op9_matroska": "matroska",
     "op10_jaccard_join": "jaccard_join",
+    "op11_token_alignment": "alignment",
 }
 
 
