@@ -45,12 +45,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends
     there, so a lost executor costs no more than the tasks that ran on it."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
