@@ -16,6 +16,7 @@ _MODULES = {
     "op9_matroska": "matroska",
     "op10_jaccard_join": "jaccard_join",
     "op11_token_alignment": "alignment",
+    "op12_collocations": "collocations",
 }
 
 
