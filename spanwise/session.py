@@ -45,12 +45,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends
-    there, so a lost executor costs no more than the tasks that ran on it."""
+    there, so a lost executor costs no more than the tasks that ran on it. options:
+    of the writer."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
