@@ -25,7 +25,6 @@ columns of docs are not read. An empty table gives no rows. A text is one task's
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,76 +35,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm import blobs
-from spanwise.llm.tokens import _byte_letters, encoder
+from spanwise.llm.tokens import _ODD, _byte_letters, encoder
 from spanwise.llm.words import mix64
 from spanwise.session import load, materialize
 
 #: Pairs whose counts every task gets; all others are resolved by a shuffle.
 KNOWN = 2_000_000
-#: Words that a worker keeps encoded, by tokenizer.
-ENTRIES = 200_000
+#: Words whose ids by A a worker keeps.
+ENTRIES = 300_000
 #: Pairs that a task counts at a time.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
+#: Row groups of 16 MB, as two writers share an executor with the tokenizers.
+_SMALL = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
 _COLUMNS = ["n_a", "n_b", "n_groups", "n_links"]
 _SPACE = "▁"
 
 
-class PieceEncoder:
-    """encode(text) -> ids, equal to the library's, as little-endian u32 bytes.
-
-    No piece holds a space mark after another character, and none holds a line
-    break, so no merge crosses a cut before a space or around a line break: what
-    lies between cuts is encoded once and kept. A vocabulary with such pieces is
-    encoded text by text."""
-
-    def __init__(self, path: str, entries: int = ENTRIES) -> None:
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        told = not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces)
-        probe = "ab  c\n \n\nd e "
-        break_ids = self.model.encode("\n")[1:]
-        self.first = _Kept(lambda word: self.model.encode(word), entries)
-        self.later = _Kept(lambda word: self.model.encode("\n" + word)[1 + len(break_ids) :], entries)
-        self.first[""] = np.array([self.model.piece_to_id(_SPACE)], "<u4").tobytes()  # a space with nothing behind it
-        self.newline = np.array(break_ids, "<u4").tobytes()
-        self.find = re.compile(" +[^ ]*").findall
-        self.cut = told and self.model.encode("\n") and self._cut(probe) == np.array(self.model.encode(probe), "<u4").tobytes()
-
-    def _cut(self, text: str) -> bytes:
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.newline)
-                head = re.match("[^ ]*", line).group()
-                if head:
-                    out.append(self.later[head])
-                line = line[len(head) :]
-            else:
-                line = " " + line
-            out += [self.first[w[1:]] for w in self.find(line)]
-        return b"".join(out)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return self._cut(text) if self.cut else np.array(self.model.encode(text), "<u4").tobytes()
-
-
-class _Kept(dict):
-    """Ids (u32 bytes) of a word; a missing one is made, and kept while there is room."""
-
-    def __init__(self, make, entries: int) -> None:
-        super().__init__()
-        self.make, self.entries = make, entries
-
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.make(word), "<u4").tobytes()
-        if len(self) < self.entries and len(word) < 64:
-            self[word] = found
-        return found
+def piece_bytes(model) -> list[bytes]:
+    """Bytes of each entry of a sentencepiece vocabulary."""
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+
+
+def _spaced(made, text: str) -> bytes:
+    """Ids of a space and the text. A text of words with one space or line break
+    between goes through the encoder's words."""
+    if not made.cut or len(text.split()) != 1 + text.count(" ") + text.count("\n") or _ODD.search(text) or any(x in text for x in made.literals):
+        return made.encode(" " + text)
+    kept, lines = made.next.__getitem__, text.split("\n")
+    out = [b"".join(map(kept, lines[0].split(" ")))]
+    for line in lines[1:]:
+        head, *rest = line.split(" ")
+        out.append(made.first[head] + b"".join(map(kept, rest)))
+    return made.newline.join(out)
 
 
 def _letters_bytes(path: str) -> list[bytes]:
@@ -144,10 +106,11 @@ class _Side:
 
 class _Pair:
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.encode_a = encoder(path_a, ENTRIES).encode
-        pieces = PieceEncoder(path_b)
-        self.encode_b = pieces.encode
-        self.a, self.b = _Side(_letters_bytes(path_a)), _Side(pieces.bytes)
+        from sentencepiece import SentencePieceProcessor
+
+        self.made = encoder(path_a, ENTRIES)
+        self.model = SentencePieceProcessor(model_file=path_b)
+        self.a, self.b = _Side(_letters_bytes(path_a)), _Side(piece_bytes(self.model))
 
 
 @lru_cache(maxsize=1)
@@ -181,7 +144,7 @@ def _whole(parts: list[bytes], counts: np.ndarray, side: _Side, data: np.ndarray
 def _tokens(pair: _Pair, texts: list[str]) -> tuple[np.ndarray, ...]:
     """doc, id and end of the tokens of both sides, for the texts that align."""
     raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    a, b = [pair.encode_a(" " + t) if t else b"" for t in texts], [pair.encode_b(t) if t else b"" for t in texts]
+    a, b = [_spaced(pair.made, t) if t else b"" for t in texts], [np.array(pair.model.encode(t), "<u4").tobytes() if t else b"" for t in texts]
     while True:
         limits = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -467,8 +430,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     default = default_paths()
     path_a, path_b = path_a or default[0], path_b or default[1]
     size_a, size_b = Tokenizer.from_file(path_a).get_vocab_size(), SentencePieceProcessor(model_file=path_b).get_piece_size()
-    rows = materialize(aligned(docs, path_a, path_b), "alignment", "zstd")
-    counts = materialize(pair_counts(rows), "alignment-counts", "zstd")
+    rows = materialize(aligned(docs, path_a, path_b), "alignment", **_SMALL)
+    counts = materialize(pair_counts(rows), "alignment-counts", **_SMALL)
     return scored(rows, counts, size_a, size_b, known)
 
 

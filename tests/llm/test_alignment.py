@@ -103,13 +103,3 @@ def test_given_documents(spark, sf_dir):
 def test_links(spark):
     rows = {r["doc_id"]: r["links"] for r in alignment.links(spark.createDataFrame([(1, "hello world"), (2, "")], "doc_id long, text string")).collect()}
     assert rows[2] == [] and len(rows[1]) >= 2
-
-
-def test_piece_encoder_equals_library():
-    import sentencepiece
-
-    own, library = alignment.PieceEncoder(PATHS[1]), sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
-    assert own.cut
-    for _, text in CASES:
-        if text:
-            assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text), text
