@@ -17,6 +17,7 @@ _MODULES = {
     "op10_jaccard_join": "jaccard_join",
     "op11_token_alignment": "alignment",
     "op12_collocations": "collocations",
+    "op13_suffix_dedup": "suffix_dedup",
 }
 
 
