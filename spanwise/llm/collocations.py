@@ -25,6 +25,8 @@ Repeated rows count each. Extra columns are not read. An empty table gives no ro
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,32 +234,57 @@ def _bits(counts: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def vocabulary(docs: DataFrame, table, seed: int) -> tuple[DataFrame, DataFrame]:
+def vocabulary(docs: DataFrame, table, seed: int, limit: int = HELD) -> tuple[DataFrame, DataFrame]:
     """(id, lang, word) of the frequent words (and of some others that the bits let
-    through), and (lang, n) with the number of all word occurrences."""
+    through), and (lang, n) with the number of all word occurrences. A task packs the
+    words that it meets, each once, by buckets of ids."""
+    buckets = blobs.bucket_count(docs.sparkSession)
+    names = ["bucket", "ids", "words", "langs", "lang", "n"]
+
+    def packed(found: dict[int, tuple[bytes, str]]) -> pd.DataFrame:
+        ids = np.fromiter(found, np.uint64, len(found))
+        bucket = blobs.bucket_of(ids, buckets)
+        order = np.argsort(bucket, kind="stable")
+        told = list(found.values())
+        rows = []
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            # words hold no line break
+            rows.append((int(bucket[part[0]]), ids[part].tobytes(), b"\n".join(told[k][0] for k in part), json.dumps([told[k][1] for k in part]).encode(), None, None))
+        return pd.DataFrame(rows, columns=names)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(0, np.uint64)
+        found: dict[int, tuple[bytes, str]] = {}
+        seen, totals = np.zeros(0, np.uint64), Counter()
         for whole in batches:
             for batch in blobs.slices(whole, "text"):
                 words = Pieces(list(batch["text"]), list(batch["lang"]), seed)
-                total = np.bincount(words.doc, minlength=len(batch))
-                by_lang = pd.Series(total).groupby(np.array(words.langs, object)).sum()
-                yield pd.DataFrame({"id": np.full(len(by_lang), None, object), "lang": np.array(by_lang.index, object), "word": np.full(len(by_lang), None, object), "n": by_lang.to_numpy(np.int64)})
+                for lang, n in zip(words.langs, np.bincount(words.doc, minlength=len(batch)).tolist()):
+                    totals[lang] += n
                 at = np.flatnonzero(_listed(table.value, words.id))
-                found, index = np.unique(words.id[at], return_index=True)
-                new = ~np.isin(found, seen, assume_unique=True)
-                at = at[index[new]]
-                if len(seen) < HELD:  # words met later than that are told again, which changes nothing
-                    seen = np.concatenate([seen, found[new]])
-                raw = words.data
-                text = np.array([raw[words.start[i] : words.end[i]].tobytes().decode("utf-8", "surrogatepass") for i in at] + [None], object)[:-1]
-                lang = np.array([words.langs[d] for d in words.doc[at]] + [None], object)[:-1]
-                yield pd.DataFrame({"id": words.id[at].view(np.int64), "lang": lang, "word": text, "n": np.zeros(len(at), np.int64)})
-
-    rows = materialize(docs.select("text", "lang").mapInPandas(emit, "id long, lang string, word string, n long"), "phrase-words")
-    words = rows.where("id is not null").groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"))
-    return words, rows.where("id is null").groupBy("lang").agg(F.sum("n").alias("n"))
+                ids, index = np.unique(words.id[at], return_index=True)
+                new = ~np.isin(ids, seen, assume_unique=True)
+                at, raw = at[index[new]], words.data
+                for key, i in zip(words.id[at].tolist(), at.tolist()):
+                    found[key] = (raw[words.start[i] : words.end[i]].tobytes(), words.langs[words.doc[i]])
+                seen = np.concatenate([seen, ids[new]])
+                if len(found) >= limit:  # words met later than that are told again, which changes nothing
+                    yield packed(found)
+                    found, seen = {}, seen[:0]
+        if found:
+            yield packed(found)
+        if totals:
+            yield pd.DataFrame([(None, None, None, None, lang, n) for lang, n in totals.items()], columns=names)
+
+    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = np.concatenate([np.frombuffer(x, "u8") for x in frame["ids"]])
+        words, langs = [w for x in frame["words"] for w in x.split(b"\n")], [v for x in frame["langs"] for v in json.loads(x)]
+        _, index = np.unique(ids, return_index=True)
+        return pd.DataFrame({"id": ids[index].view(np.int64), "lang": np.array([langs[k] for k in index] + [None], object)[:-1], "word": np.array([words[k].decode("utf-8", "surrogatepass") for k in index] + [None], object)[:-1]})
+
+    rows = docs.select("text", "lang").mapInPandas(emit, "bucket int, ids binary, words binary, langs binary, lang string, n long")
+    rows = materialize(rows, "phrase-words")
+    words = rows.where("bucket is not null").select("bucket", "ids", "words", "langs").groupBy("bucket").applyInPandas(distinct, "id long, lang string, word string")
+    return materialize(words, "phrase-vocabulary"), rows.where("bucket is null").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = BITS, limit: int = HELD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -270,7 +297,7 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
             break
         seed += 1
     table = context.broadcast(_bits(levels[0], bits))
-    words, totals = vocabulary(docs, table, seed)
+    words, totals = vocabulary(docs, table, seed, limit)
     for n in range(2, longest + 1):
         levels.append(materialize(frequent(docs, n, table, least, seed, bits, limit), f"phrases-{n}"))
         table.unpersist()
