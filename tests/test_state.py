@@ -59,6 +59,20 @@ def at(hours):
     return T + timedelta(hours=hours)
 
 
+def hours(us):
+    return None if us is None else (datetime(1970, 1, 1) + timedelta(microseconds=us) - T).total_seconds() / 3600
+
+
+def outages_of(spark, folder, batches):
+    rows = stream(spark, str(folder), batches, "series long, ts timestamp, kind string").withWatermark("ts", "60 minutes")
+    return sorted((r["series"], hours(r["lost_us"]), r["state"], hours(r["at_us"])) for r in drain(state.outages(rows), "t-outages", "append").collect())
+
+
+def changes_of(spark, folder, batches):
+    rows = stream(spark, str(folder), batches, "series long, ts timestamp, version long").withWatermark("ts", "60 minutes")
+    return sorted((r["series"], hours(r["us"]), r["version"], r["was"], hours(r["after_us"])) for r in drain(state.setting_changes(rows), "t-settings", "append").collect())
+
+
 def test_outages_span_batches(spark, tmp_path):
     batches = [
         [(1, at(0), "loss"), (2, at(0), "loss"), (3, at(0), "loss"), (4, at(0), "restore")],
@@ -67,15 +81,37 @@ def test_outages_span_batches(spark, tmp_path):
         [(3, at(12), "restore"), (6, at(12), "loss")],  # 6 is open, but not for long
         [(7, at(16), "other"), (8, at(15), "loss")],  # a row of another kind moves the time past 6's timer
     ]
-    rows = stream(spark, str(tmp_path), batches, "series long, ts timestamp, kind string").withWatermark("ts", "60 minutes")
-    us = lambda h: int((at(h) - datetime(1970, 1, 1)).total_seconds() * 1e6)
-    got = sorted(tuple(r) for r in drain(state.outages(rows), "t-outages", "append").collect())
-    assert got == sorted([(2, us(0), "lost", us(2)), (2, us(0), "restored", us(3)), (3, us(0), "lost", us(2)), (3, us(0), "restored", us(12)), (4, us(3.5), "lost", us(5.5)), (6, us(12), "lost", us(14))])
+    assert outages_of(spark, tmp_path, batches) == sorted([(2, 0, "lost", 2), (2, 0, "restored", 3), (3, 0, "lost", 2), (3, 0, "restored", 12), (4, 3.5, "lost", 5.5), (6, 12, "lost", 14)])
+
+
+def test_late_restore_within_the_watermark_counts(spark, tmp_path):
+    """The restore of 1.5 h comes a batch after the loss of 2.4 h."""
+    end = [(9, at(30), "other")]
+    batches = [[(1, at(0), "loss")], [(1, at(2.4), "loss")], [(1, at(1.5), "restore")], end]
+    want = [(1, 2.4, "lost", 4.4)]
+    assert outages_of(spark, tmp_path / "cut", batches) == want
+    assert outages_of(spark, tmp_path / "one", [sum(batches[:3], []), end]) == want
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_any_cut_into_batches_gives_one_result(spark, tmp_path, seed):
+    """Rows come up to 55 minutes out of order, in batches cut anywhere."""
+    import random
+
+    rng = random.Random(seed)
+    losses = [(rng.randrange(3), at(rng.randrange(0, 1200) / 60), rng.choice(["loss", "restore"])) for _ in range(40)]
+    versions = [(s, t, rng.randrange(3)) for s, t, _ in losses]
+    order = sorted(range(40), key=lambda k: (losses[k][1], k))
+    order.sort(key=lambda k: losses[k][1] + timedelta(minutes=rng.randrange(56)))
+    cut = sorted(rng.sample(range(1, 40), 3))
+    parts = [order[a:b] for a, b in zip([0, *cut], [*cut, 40])]
+    for name, run, rows, end in (("o", outages_of, losses, (9, at(60), "other")), ("s", changes_of, versions, (9, at(60), None))):
+        whole = run(spark, tmp_path / f"{name}1", [rows, [end]])
+        assert whole and run(spark, tmp_path / f"{name}2", [*[[rows[k] for k in p] for p in parts], [end]]) == whole
 
 
 def test_setting_changes_span_batches(spark, tmp_path):
-    batches = [[(1, at(0), 5), (1, at(1), 5), (2, at(0), None)], [(1, at(2), 5), (1, at(0.5), 9), (2, at(2), 1)], [(1, at(3), 6), (1, at(4), 5)]]
-    rows = stream(spark, str(tmp_path), batches, "series long, ts timestamp, version long")
-    hour = lambda us: None if us is None else (datetime(1970, 1, 1) + timedelta(microseconds=us) - T).total_seconds() / 3600
-    got = sorted(((r["series"], hour(r["us"]), r["version"], r["was"], hour(r["after_us"])) for r in drain(state.setting_changes(rows), "t-settings", "append").collect()))
-    assert got == [(1, 0, 5, None, None), (1, 3, 6, 5, 2), (1, 4, 5, 6, 3), (2, 2, 1, None, None)]  # the row of 0.5 h came late
+    """9 comes a batch late, but the watermark has not passed it; 8 comes after that."""
+    batches = [[(1, at(0), 5), (1, at(1), 5), (2, at(0), None)], [(1, at(2), 5), (1, at(0.5), 9), (2, at(2), 1)], [(1, at(3), 6), (1, at(4), 5)], [(1, at(1.5), 8), (3, at(30), None)]]
+    got = changes_of(spark, tmp_path, batches)
+    assert got == [(1, 0, 5, None, None), (1, 0.5, 9, 5, 0), (1, 1, 5, 9, 0.5), (1, 3, 6, 5, 2), (1, 4, 5, 6, 3), (2, 2, 1, None, None)]
