@@ -25,6 +25,7 @@ columns of docs are not read. An empty table gives no rows. A text is one task's
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm import blobs
-from spanwise.llm.tokens import _ODD, _byte_letters, encoder
+from spanwise.llm.tokens import PATTERN, _byte_letters, encoder
 from spanwise.llm.words import mix64
 from spanwise.session import load, materialize
 
 #: Pairs whose counts every task gets; all others are resolved by a shuffle.
 KNOWN = 2_000_000
-#: Words whose ids by A a worker keeps.
-ENTRIES = 300_000
+#: Words that the library's own encoder of A keeps, where it is used.
+ENTRIES = 200_000
 #: Pairs that a task counts at a time.
 PAIRS = 1_000_000
 #: Row groups of 16 MB, as two writers share an executor with the tokenizers.
@@ -57,17 +58,30 @@ def piece_bytes(model) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
 
 
-def _spaced(made, text: str) -> bytes:
-    """Ids of a space and the text. A text of words with one space or line break
-    between goes through the encoder's words."""
-    if not made.cut or len(text.split()) != 1 + text.count(" ") + text.count("\n") or _ODD.search(text) or any(x in text for x in made.literals):
-        return made.encode(" " + text)
-    kept, lines = made.next.__getitem__, text.split("\n")
-    out = [b"".join(map(kept, lines[0].split(" ")))]
-    for line in lines[1:]:
-        head, *rest = line.split(" ")
-        out.append(made.first[head] + b"".join(map(kept, rest)))
-    return made.newline.join(out)
+def byte_encoder(path: str):
+    """encode(text) -> ids of a byte-level BPE as little-endian u32 bytes.
+
+    If ids ascend in the order of the merges and each entry encodes to itself, then
+    merging the pair whose joined entry has the least id is the same as merging by the
+    list: what lies within an entry's bytes is merged as it is alone, so a pair of
+    another split of it never stands side by side. Such a file goes through ranks, which
+    is twice as fast; any other through the library's own encoder."""
+    import tiktoken
+
+    made = encoder(path, ENTRIES)
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    entries, vocabulary = _letters_bytes(path), told["model"].get("vocab", {})
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"].get("merges", [])] if made.cut else []
+    if not merged or sorted(merged) != merged or any(len(made.model.tokenize(token)) != 1 for token in vocabulary if token not in _added_tokens(told)):
+        return made.encode
+    ranks = {entries[i]: i for token, i in vocabulary.items() if token not in _added_tokens(told)}
+    encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: np.array(encode(text), "<u4").tobytes()
+
+
+def _added_tokens(told: dict) -> set[str]:
+    return {t["content"] for t in told.get("added_tokens") or []}
 
 
 def _letters_bytes(path: str) -> list[bytes]:
@@ -108,7 +122,7 @@ class _Pair:
     def __init__(self, path_a: str, path_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.made = encoder(path_a, ENTRIES)
+        self.encode_a = byte_encoder(path_a)
         self.model = SentencePieceProcessor(model_file=path_b)
         self.a, self.b = _Side(_letters_bytes(path_a)), _Side(piece_bytes(self.model))
 
@@ -144,7 +158,7 @@ def _whole(parts: list[bytes], counts: np.ndarray, side: _Side, data: np.ndarray
 def _tokens(pair: _Pair, texts: list[str]) -> tuple[np.ndarray, ...]:
     """doc, id and end of the tokens of both sides, for the texts that align."""
     raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    a, b = [_spaced(pair.made, t) if t else b"" for t in texts], [np.array(pair.model.encode(t), "<u4").tobytes() if t else b"" for t in texts]
+    a, b = [pair.encode_a(" " + t) if t else b"" for t in texts], [np.array(pair.model.encode(t), "<u4").tobytes() if t else b"" for t in texts]
     while True:
         limits = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)

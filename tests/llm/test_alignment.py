@@ -103,3 +103,18 @@ def test_given_documents(spark, sf_dir):
 def test_links(spark):
     rows = {r["doc_id"]: r["links"] for r in alignment.links(spark.createDataFrame([(1, "hello world"), (2, "")], "doc_id long, text string")).collect()}
     assert rows[2] == [] and len(rows[1]) >= 2
+
+
+def test_byte_encoder_equals_library():
+    """Ranks against the library on random characters of all planes and on odd runs."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(PATHS[0]), alignment.byte_encoder(PATHS[0])
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(1)
+    pools = [range(0x20, 0x7F), range(0x0, 0x30), range(0xA0, 0x250), range(0x370, 0x530), range(0x600, 0x700), range(0x2000, 0x2070), range(0x4E00, 0x4F00), range(0x1F300, 0x1F400)]
+    texts = ["".join(chr(rng.choice(pools[k % 8] if rng.random() < 0.7 else pools[0])) for _ in range(int(rng.integers(1, 60)))) for k in range(1500)]
+    texts += [t for _, t in CASES if t] + ["aaaa" * 30, "zzzz zz", " \n \n", "\u3000\u2028x", "'s'S''ll 've", "<|endoftext|>"]
+    for text in texts:
+        assert list(memoryview(own(" " + text)).cast("I")) == library.encode(" " + text, add_special_tokens=False).ids, repr(text)
