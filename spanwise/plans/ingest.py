@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanwise.operators import decode, intervals as iv
+from spanwise.operators import decode, intervals as iv, naming
 from spanwise.plans.telemetry import RANGE, S, samples
 from spanwise.session import load, new_path
 
@@ -117,37 +117,36 @@ def src18(spark, sf):
     return _text(spark.read.parquet(path).select("series", F.col("day").cast("date").alias("day"), "n", "mean", "version"))
 
 
-_SOURCES = ("radio_sensor", "boiler_adapter", "heating_circuit", "thermometer")
-_METRICS = ("temperature", "humidity", "battery", "dbm", "flags", "ot", "bt", "rwt", "dt", "cs", "rml", "wp", "fr", "target_temp", "worktime", "mode_id", "status", "burner_state", "duty_percent", "runtime_s", "note")
-_NAMES = ("Hot water", "Room", "Outdoor", "Boiler room", "Kitchen")
+_SOURCES = ("z3k_radio_sensor", "z3k_boiler_adapter", "z3k_heating_circuit", "z3k_temperature")
+_METRICS = ("temperature", "humidity", "battery", "dbm", "flags", "ot", "bt", "rwt", "dt", "cs", "rml", "wp", "fr", "target_temp", "worktime", "mode_id", "status", "burner_state", "duty_percent", "runtime_s", "note", "setpoint_temp")
+_NAMES = ("Hot water", "Room", "Outdoor", "Boiler room", "Kitchen", "ГВС", "Отопление", "Обратка", "Спальня")
 
 
 def _entities(spark, sf):
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names)).cast("int") + 1)
-    return samples(spark, sf).select("seq", pick(_SOURCES, F.col("seq")).alias("source"), pick(_METRICS, F.col("k")).alias("metric"), pick(_NAMES, F.col("series")).alias("name"))
+    return samples(spark, sf).select("seq", pick(_SOURCES, F.col("seq")).alias("source"), F.col("series").alias("entity"), pick(_METRICS, F.col("k")).alias("metric"), pick(_NAMES, F.col("series")).alias("name"))
 
 
 _pick_sql = lambda names, n: f"[{', '.join(repr(x) for x in names)}][CAST({n} % {len(names)} AS INT) + 1]"
-ENT = S + f", e AS (SELECT seq, {_pick_sql(_SOURCES, 'seq')} AS source, {_pick_sql(_METRICS, 'k')} AS metric, {_pick_sql(_NAMES, 'series')} AS name FROM s)"
+ENT = S + f", e AS (SELECT seq, {_pick_sql(_SOURCES, 'seq')} AS source, series AS entity, {_pick_sql(_METRICS, 'k')} AS metric, {_pick_sql(_NAMES, 'series')} AS name FROM s)"
 
 
 def prj1(spark, sf):
-    return _entities(spark, sf).select("seq", decode.unit("source", "metric").alias("unit"))
+    return naming.units(_entities(spark, sf)).select("seq", "unit")
 
 
 def prj2(spark, sf):
-    return _entities(spark, sf).select("seq", decode.role("source", "metric", "name").alias("r")).select("seq", "r.role", "r.confidence")
+    return naming.roles(_entities(spark, sf)).select("seq", "role", "confidence")
 
 
 def prj3(spark, sf):
-    e = _entities(spark, sf).withColumn("r", decode.role("source", "metric", "name"))
     linked = F.when(F.col("seq") % 4 == 1, F.lit("room_temperature"))
     override = F.when(F.col("seq") % 6 == 1, F.lit("outdoor_temperature"))
-    return e.select("seq", decode.resolved("r", linked, override, F.col("metric").contains("temp")).alias("x")).select("seq", "x.*")
+    return naming.roles(_entities(spark, sf)).select("seq", naming.resolved(linked, override, F.col("metric").contains("temp")).alias("x")).select("seq", "x.*")
 
 
 def prj4(spark, sf):
-    return _entities(spark, sf).where(decode.is_setpoint("source", "metric")).groupBy("source", "metric").agg(F.count("*").alias("n"))
+    return naming.setpoints(_entities(spark, sf)).where("setpoint").groupBy("source", "metric").agg(F.count("*").alias("n"))
 
 
 def prj5(spark, sf):
@@ -228,16 +227,15 @@ _day_sql = "strftime(day, '%Y-%m-%d') AS day"
 _spread_sql = lambda source, order, n: f"""x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY {order}) - 1 AS i, count(*) OVER (PARTITION BY series) AS many FROM {source}),
 pick AS (SELECT DISTINCT series, CAST(round_even(g.n * (many - 1) / {n - 1}.0, 0) AS BIGINT) AS i FROM x, generate_series(0, {n - 1}) AS g(n) WHERE many > {n})
 SELECT series, strftime(day, '%Y-%m-%d') AS day FROM x WHERE many <= {n} OR (series, i) IN (SELECT series, i FROM pick)"""
-_UNIT_SQL = """CASE WHEN source = 'radio_sensor' AND metric = 'temperature' THEN '°C' WHEN source = 'radio_sensor' AND metric = 'humidity' THEN '%' WHEN source = 'radio_sensor' AND metric = 'battery' THEN 'V' WHEN source = 'radio_sensor' AND metric = 'dbm' THEN 'dBm' WHEN source = 'radio_sensor' AND metric = 'flags' THEN 'state'
-WHEN source = 'boiler_adapter' AND metric IN ('cs', 'bt', 'rwt', 'dt', 'ot') THEN '°C' WHEN source = 'boiler_adapter' AND metric = 'rml' THEN '%' WHEN source = 'boiler_adapter' AND metric = 'wp' THEN 'bar' WHEN source = 'boiler_adapter' AND metric = 'fr' THEN 'l/min'
-WHEN metric LIKE '%temp%' THEN '°C' WHEN regexp_matches(metric, 'work_time|runtime|duration') THEN 's' WHEN regexp_matches(metric, 'modulation|percent|duty') THEN '%' WHEN regexp_matches(metric, 'state|flame|burner|mode') THEN 'state' END"""
-_ROLE_SQL = """CASE WHEN source = 'radio_sensor' AND metric IN ('humidity', 'battery', 'dbm', 'flags') THEN CASE metric WHEN 'humidity' THEN 'humidity' WHEN 'battery' THEN 'sensor_battery_voltage' WHEN 'dbm' THEN 'sensor_signal_strength' ELSE 'sensor_status_flags' END || ':0.95'
-WHEN source = 'boiler_adapter' AND metric IN ('ot', 'bt', 'rwt', 'dt', 'cs', 'rml') THEN CASE metric WHEN 'ot' THEN 'outdoor_temperature' WHEN 'bt' THEN 'flow_temperature' WHEN 'rwt' THEN 'return_temperature' WHEN 'dt' THEN 'dhw_temperature' WHEN 'cs' THEN 'target_flow_temperature' ELSE 'burner_activity' END || ':0.95'
-WHEN source = 'heating_circuit' AND name = 'Hot water' AND metric IN ('target_temp', 'worktime', 'status', 'mode_id') THEN CASE metric WHEN 'target_temp' THEN 'dhw_target_temperature' WHEN 'worktime' THEN 'dhw_activity' WHEN 'status' THEN 'dhw_status' ELSE 'dhw_operating_mode' END || ':0.95'
-WHEN source = 'heating_circuit' AND metric = 'target_temp' AND name IN ('Room', 'Boiler room') THEN 'target_temperature:0.9' WHEN source = 'heating_circuit' AND metric = 'worktime' AND name = 'Boiler room' THEN 'heating_activity:0.8'
-WHEN name = 'Outdoor' THEN 'outdoor_temperature:0.9' WHEN name = 'Boiler room' THEN 'technical_temperature:0.85' WHEN name = 'Room' AND (metric LIKE '%temp%' OR source IN ('radio_sensor', 'thermometer')) THEN 'room_temperature:0.8'
-WHEN metric = 'burner_state' THEN 'burner_activity:0.9' WHEN metric LIKE '%temp%' THEN 'temperature:0.4' WHEN metric = 'mode_id' THEN 'operating_mode:0.75' ELSE 'unknown:0.3' END"""
-_ROLES = ENT + f", r AS (SELECT *, split_part({_ROLE_SQL}, ':', 1) AS role, CAST(split_part({_ROLE_SQL}, ':', 2) AS DOUBLE) AS confidence FROM e)"
+def _rules_sql(gives, text):
+    """The first fitting rule by a search for each distinct key, from the same rows."""
+    row = lambda k, r: "(" + ", ".join([str(k), *(f"'{r[c]}'" for c in ("source", "metric", "words", "also", "value")), r["confidence"] or "NULL"]) + ")"
+    rows = ", ".join(row(k, r) for k, r in enumerate(naming.rule_rows()) if r["gives"] == gives)
+    return f""", rule AS (SELECT * FROM (VALUES {rows}) AS v(place, source, metric, words, also, found, confidence)), told AS (SELECT e.*, rule.found, rule.confidence AS sure, row_number() OVER (PARTITION BY seq ORDER BY place) AS first_fit
+FROM e JOIN rule ON rule.source IN (e.source, '*') AND rule.metric IN (e.metric, '*') AND (words = '' OR regexp_matches(lower({text}), words)) AND (also = '' OR regexp_matches(lower({text}), also)))"""
+
+
+_ROLES = ENT + _rules_sql("role", "concat_ws(' ', e.source, e.entity, e.metric, e.name)") + ", r AS (SELECT seq, metric, found AS role, CAST(sure AS DOUBLE) AS confidence FROM told WHERE first_fit = 1)"
 
 QUERIES = {
     "SRC3_state_read": (src3, S + f"SELECT series, epoch_us(ts) AS us, kind FROM s WHERE kind <> 'error' AND {RANGE}"),
@@ -257,11 +255,11 @@ x AS (SELECT *, lag(fingerprint) OVER w AS was, row_number() OVER w AS n FROM o
     "SRC17_coverage_ledger": (src17, S + f""", g AS (SELECT series, CAST(ts AS DATE) AS day, max(CASE kind WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'error' THEN 0 ELSE 1 END) AS r FROM s GROUP BY 1, 2), c AS (SELECT series, strftime(max(day) + 1, '%Y-%m-%d') AS "cursor" FROM g WHERE r >= 2 GROUP BY 1)
 SELECT g.series, {_day_sql}, ['failed', 'unavailable', 'empty', 'complete'][r + 1] AS state, "cursor" FROM g LEFT JOIN c ON c.series = g.series"""),
     "SRC18_replaced_days": (src18, DAY + f" SELECT series, {_day_sql}, n, mean, CASE WHEN day >= '2024-01-20' THEN 2 ELSE 1 END AS version FROM day"),
-    "PRJ1_unit": (prj1, ENT + f" SELECT seq, {_UNIT_SQL} AS unit FROM e"),
+    "PRJ1_unit": (prj1, ENT + _rules_sql("unit", "e.source || '.' || e.metric") + " SELECT e.seq, found AS unit FROM e LEFT JOIN told ON told.seq = e.seq AND first_fit = 1"),
     "PRJ2_role": (prj2, _ROLES + " SELECT seq, role, confidence FROM r"),
     "PRJ3_resolved_role": (prj3, _ROLES + """ SELECT seq, CASE WHEN seq % 6 = 1 AND metric LIKE '%temp%' THEN 'outdoor_temperature' WHEN seq % 4 = 1 THEN 'room_temperature' ELSE role END AS role,
 CASE WHEN (seq % 6 = 1 AND metric LIKE '%temp%') OR seq % 4 = 1 THEN 1.0 ELSE confidence END AS confidence, CASE WHEN seq % 6 = 1 AND metric LIKE '%temp%' THEN 'config' WHEN seq % 4 = 1 THEN 'link' ELSE 'heuristic' END AS provenance FROM r"""),
-    "PRJ4_setpoints": (prj4, ENT + " SELECT source, metric, count(*) AS n FROM e WHERE (source, metric) IN (('heating_circuit', 'target_temp'), ('heating_circuit', 'setpoint_temp'), ('boiler_adapter', 'cs')) GROUP BY 1, 2"),
+    "PRJ4_setpoints": (prj4, ENT + " SELECT source, metric, count(*) AS n FROM e WHERE (source, metric) IN (('z3k_heating_circuit', 'target_temp'), ('z3k_heating_circuit', 'setpoint_temp'), ('z3k_boiler_adapter', 'cs')) GROUP BY 1, 2"),
     "PRJ5_flags": (prj5, S + " SELECT kind, CASE kind WHEN 'click' THEN 'ch+fl' WHEN 'purchase' THEN 'dhw+fl' ELSE '' END AS flags, count(*) AS n FROM s GROUP BY 1, 2"),
     "JN18_changed_rows": (jn18, S + " SELECT series, seq, round(CASE WHEN seq % 4 = 0 THEN value + 1 END, 6) AS value FROM s WHERE value IS NOT NULL AND (seq % 4 = 0 OR seq % 9 = 0)"),
     "JN19_profile": (jn19, S + """, x AS (SELECT *, max(CASE WHEN kind IN ('signup', 'error') THEN seq END) OVER w AS m, max(CASE WHEN kind NOT IN ('signup', 'error') THEN seq END) OVER w AS a FROM s WINDOW w AS (PARTITION BY series ORDER BY ts, seq))
