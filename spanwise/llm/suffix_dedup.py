@@ -2,25 +2,25 @@
 
 Each byte covered by a string of ``width`` bytes that also starts anywhere else goes.
 A suffix array over all bytes would sort every byte several times. The array is kept
-over sampled positions instead (about one in 39), and bytes between them are
+over sampled positions instead (about one in 60), and bytes between them are
 looked at only where a repeated stretch begins or ends.
 
 1. Samples: in each run of ``reach`` neighbours the place with the least hash of
-   ``seed`` bytes, leftmost on ties, and each document's start. What is sampled in
-   a string depends on that string alone, but for ``reach`` bytes at its ends. The
-   bytes from a sample to the next and the seed behind it are a phrase.
-2. Doubling: a position's rank is the class of its phrase, then of 2, 4, 8 ... phrases:
-   Spark sorts the pairs (rank, rank at the offset), equal pairs get one rank, pairs
-   that are alone are dropped. A position is past the threshold when its phrases
-   hold all windows that start in its first one; the last offset is cut to just
-   that, and if the class has more members all those windows repeat.
-3. Ends: a window not settled so, whose inner phrases all repeat, is compared by a
+   ``seed`` bytes, leftmost on ties. Whether a place is sampled depends on the bytes
+   around it alone, its context (270 of a window's 400 bytes), and the middle of each
+   window holds a sample whose context lies in the window.
+2. Doubling: a sample's rank is the class of its context, then of the contexts of 2, 4,
+   8 ... samples: Spark sorts the pairs (rank, rank at the offset, bytes between), equal
+   pairs get one rank, pairs that are alone are dropped. A sample is past the threshold
+   when its contexts hold all windows that start with its own; the last offset is cut
+   to just that, and if the class has more members all those windows repeat.
+3. Ends: a window not settled so, whose middle samples all repeat, is compared by a
    hash of its ``width`` bytes (96 bits) with others of its kind and with the settled
    windows of one member of each class.
 
 The sort's key ends in the position, so a class that a third of all rows share is
 spread over ranges; classes at the edges of ranges are put together from two rows a
-range. Phrases and windows that a task meets twice go on as one witness.
+range. Contexts and windows that a task meets twice go on as one witness.
 
 Cases: null and empty texts have no bytes. Texts shorter than the width keep all.
 Repeated rows count as documents of their own. Null or repeated doc_ids are fine: rows
@@ -47,32 +47,39 @@ from spanwise.session import load, materialize, partitions
 WIDTH = 400
 _OTHER = np.random.default_rng(20250611).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
-_PHRASE = {"h": "u8", "key": "i8", "j": "u4", "c": "u2", "weight": "u1"}
+_CONTEXT = {"h": "u8", "key": "i8", "j": "u4", "at": "u4", "c": "u2", "weight": "u1"}
 _WINDOW = {"h": "u8", "tag": "u4", "key": "i8", "at": "u4", "weight": "u1"}
 #: Weights of a record: one, more than one, repeated already, and a settled window that needs no answer.
 _ONE, _MORE, _DONE, _TOLD = 1, 2, 3, 4
 _SMALL = {"parquet.block.size": str(16 << 20)}
 
 
-def sizes(width: int) -> tuple[int, int]:
-    """(seed, reach): the middle of a window, where samples depend on the window
-    alone, holds three samples or more."""
+def sizes(width: int) -> tuple[int, int, int, int]:
+    """(seed, reach, before, behind): a context is ``before`` bytes, the place and on to
+    ``behind`` bytes from it."""
     if width < 16:
         raise ValueError("windows of 16 bytes at least")
     seed = max(1, min(16, width // 8))
-    return seed, max(2, (width - seed + 3) // 5)
+    reach = (width - seed + 3) // 3
+    return seed, reach, reach - 1, reach - 1 + seed
+
+
+def _sums(data: np.ndarray, table: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial hash and the powers that take a place out of one."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * powers(base, len(data)))])
+    return total, powers(pow(base, -1, 2**64), len(data) + 1)
 
 
 class Samples:
     """Samples of a batch of documents of ``width`` bytes or more.
 
-    at: places in data; first: index of each document's first sample; end: end of
-    each phrase; h: its hash; c: number of phrases from it on that hold the windows
-    starting in it (0: there is none)."""
+    at: places in data; first: index of each document's first sample; h: hash of the
+    context; lo and hi: the windows (places of their starts) that belong to a sample;
+    c: number of samples from it on whose contexts hold them (0: there are none)."""
 
     def __init__(self, raw: list[bytes], width: int) -> None:
-        seed, reach = sizes(width)
-        data = self.data = np.frombuffer(b"".join(raw), np.uint8)
+        seed, reach, before, behind = sizes(width)
+        data = np.frombuffer(b"".join(raw), np.uint8)
         limits = self.limits = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         mers = _TABLE[data]
         have = 1
@@ -80,26 +87,23 @@ class Samples:
             step = min(have, seed - have)
             mers = mix64(mers[: len(mers) - step] * np.uint64(_BASE) + mers[step:])
             have += step
-        small = (mers >> np.uint64(32)).astype(np.uint32)
-        picked = _least(small, reach)[inside(limits, reach + seed - 1, len(data))]
-        chosen = np.zeros(len(data) + 1, bool)
+        picked = _least((mers >> np.uint64(32)).astype(np.uint32), reach)[inside(limits, reach + seed - 1, len(data))]
+        chosen = np.zeros(len(data), bool)
         chosen[picked] = True
-        chosen[limits[:-1]] = True
-        at = self.at = np.flatnonzero(chosen[:-1])
+        at = self.at = np.flatnonzero(chosen)
         self.first = np.searchsorted(at, limits)
-        doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
+        doc = self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
+        start, stop = limits[doc], limits[doc + 1]
+        left, right = np.maximum(at - before, start), np.minimum(at + behind, stop)
+        total, back = _sums(data, _TABLE, _BASE)
+        self.h = mix64(mix64((total[right] - total[left]) * back[left]) + ((at - left) * 65_536 + right - at).astype(np.uint64))
+        nxt = np.append(at[1:], len(data))
         last = np.zeros(len(at), bool)
         last[self.first[1:] - 1] = True
-        nxt = np.append(at[1:], len(data))
-        self.next = np.where(last, limits[doc + 1], nxt)
-        self.end = np.where(last, limits[doc + 1], self.next + seed)
-        place = np.arange(len(data)) - np.repeat(at, self.next - at)
-        whole = np.add.reduceat(_TABLE[data] * powers(_BASE, int(place.max()) + 1)[place], at) if len(at) else np.zeros(0, np.uint64)
-        behind = np.where(last, np.uint64(0), mers[np.minimum(self.next, len(mers) - 1)])
-        self.h = mix64(mix64(whole + (self.next - at).astype(np.uint64)) + behind)
-        enough = np.minimum(self.next + width - 1, limits[doc + 1])
-        self.c = np.where(at <= limits[doc + 1] - width, np.searchsorted(self.end, enough) - np.arange(len(at)) + 1, 0)
-        self.doc = doc
+        self.lo = left
+        self.hi = np.minimum(np.where(last, stop, nxt - before), stop - width + 1)
+        enough = np.minimum(np.where(last, stop, nxt - before - 1 + width), stop)
+        self.c = np.where(self.lo < self.hi, np.searchsorted(right, enough) - np.arange(len(at)) + 1, 0)
 
 
 def _raw(texts) -> list[bytes]:
@@ -129,10 +133,10 @@ def _answers(d: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
     return done | ((count > 1) & (d["weight"] == _ONE))
 
 
-def phrases(docs: DataFrame, width: int) -> DataFrame:
-    """(key, j, c, rank) of the samples whose phrase repeats."""
+def contexts(docs: DataFrame, width: int) -> DataFrame:
+    """(key, j, at, c, rank) of the samples whose context repeats."""
     buckets = blobs.bucket_count(docs.sparkSession)
-    names = list(_PHRASE)
+    names = list(_CONTEXT)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = blobs.Buffer(names)
@@ -145,18 +149,19 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
                 found = Samples([raw[k] for k in long], width)
                 key = batch["__key"].to_numpy(np.int64)[long][found.doc]
                 j = np.arange(len(found.at)) - found.first[found.doc]
-                if held.add(found.h, key, j.astype(np.uint32), found.c.astype(np.uint16), np.full(len(j), _ONE, np.uint8)):
+                at = (found.at - found.limits[found.doc]).astype(np.uint32)
+                if held.add(found.h, key, j.astype(np.uint32), at, found.c.astype(np.uint16), np.full(len(j), _ONE, np.uint8)):
                     yield _combine(held.take(), ["h"], buckets)
         if (rest := held.take()) is not None:
             yield _combine(rest, ["h"], buckets)
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        d = blobs.unpack(frame, _PHRASE)
+        d = blobs.unpack(frame, _CONTEXT)
         hit = _answers(d, ["h"])
-        return pd.DataFrame({"key": d["key"][hit], "j": d["j"][hit].astype(np.int32), "c": d["c"][hit].astype(np.int32), "rank": d["h"][hit].view(np.int64)})
+        return pd.DataFrame({"key": d["key"][hit], "j": d["j"][hit].astype(np.int32), "at": d["at"][hit].astype(np.int32), "c": d["c"][hit].astype(np.int32), "rank": d["h"][hit].view(np.int64)})
 
-    rows = _keyed(docs).select("__key", "text").mapInPandas(emit, blobs.schema(_PHRASE))
-    return rows.groupBy("bucket").applyInPandas(decide, "key long, j int, c int, rank long")
+    rows = _keyed(docs).select("__key", "text").mapInPandas(emit, blobs.schema(_CONTEXT))
+    return rows.groupBy("bucket").applyInPandas(decide, "key long, j int, at int, c int, rank long")
 
 
 def _gathered(batches: Iterator[pd.DataFrame], limit: int = 400_000) -> Iterator[pd.DataFrame]:
@@ -174,34 +179,33 @@ def _gathered(batches: Iterator[pd.DataFrame], limit: int = 400_000) -> Iterator
         yield pd.concat(held, ignore_index=True)
 
 
-def pairs(ranks: DataFrame, h: int, more: bool) -> DataFrame:
-    """Pairs of ranks of h phrases: (past 0, offset h) for the next rank, if more
-    rounds follow, and (past 1, offset c - h) for those past the threshold."""
+def pairs(ranks: DataFrame, h: int) -> DataFrame:
+    """Pairs of ranks of h samples: (past 0, offset h) for the next rank, where a sample
+    with more than 2 h to go needs it, and (past 1, offset c - h) for those past the
+    threshold. apart: bytes between the two samples."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _gathered(batches):
-            key, j, c, rank = (rows[x].to_numpy() for x in ("key", "j", "c", "rank"))
+            key, j, at, c, rank = (rows[x].to_numpy() for x in ("key", "j", "at", "c", "rank"))
             new = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, int)
-            doc = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
-            place = doc.astype(np.int64) << 32 | j
-            for past in (0, 1):  # repeated rows share a key; each of their positions pairs up
-                at = np.flatnonzero((c > h) & (c <= 2 * h)) if past else np.arange(len(key) if more else 0)
-                offset = (c[at] - h) if past else np.full(len(at), h)
-                to = np.searchsorted(place, place[at] + offset)
-                hit = to < len(place)
-                hit[hit] = place[to[hit]] == (place[at] + offset)[hit]
-                at, to, offset = at[hit], to[hit], offset[hit]
-                if len(at):
-                    yield pd.DataFrame({"past": np.full(len(at), past, np.int32), "o": offset.astype(np.int32), "x": rank[at], "y": rank[to], "key": key[at], "j": j[at], "c": c[at]})
+            place = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key)))).astype(np.int64) << 32 | j
+            wanted = np.maximum.accumulate(np.where(c > 2 * h, place + c, -1)) > place
+            for past, mine in ((1, (c > h) & (c <= 2 * h)), (0, wanted)):  # repeated rows share a key; each of their samples pairs up
+                i = np.flatnonzero(mine)
+                goal = place[i] + (c[i] - h if past else h)
+                to = np.minimum(np.searchsorted(place, goal), max(len(place) - 1, 0))
+                i, to = i[place[to] == goal], to[place[to] == goal]
+                if len(i):
+                    yield pd.DataFrame({"past": np.full(len(i), past, np.int32), "apart": at[to] - at[i], "x": rank[i], "y": rank[to], "key": key[i], "j": j[i], "at": at[i], "c": c[i]})
 
     dealt = ranks.repartition(partitions(ranks.sparkSession), "key").sortWithinPartitions("key", "j")
-    return dealt.mapInPandas(task, "past int, o int, x long, y long, key long, j int, c int")
+    return dealt.mapInPandas(task, "past int, apart int, x long, y long, key long, j int, at int, c int")
 
 
 def rerank(found: DataFrame) -> DataFrame:
-    """(past, key, j, c, rank, lead) of the pairs that are not alone: equal pairs
+    """(past, key, j, at, c, rank, lead) of the pairs that are not alone: equal pairs
     have one rank, and one of them leads."""
-    order = ["past", "o", "x", "y", "key", "j"]
+    order = ["past", "apart", "x", "y", "key", "j"]
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = list(batches)
@@ -230,48 +234,48 @@ def rerank(found: DataFrame) -> DataFrame:
         told["rank"], told["lead"], told["state"], told["n"] = base + start[ends], False, np.int32(3), size[ends].astype(np.int64)
         yield told
 
-    schema = "past int, o int, x long, y long, key long, j int, c int, rank long, lead boolean, state int, n long"
+    schema = "past int, apart int, x long, y long, key long, j int, at int, c int, rank long, lead boolean, state int, n long"
     dealt = found.repartitionByRange(partitions(found.sparkSession), *order).sortWithinPartitions(*order)
     rows = materialize(dealt.mapInPandas(mark, schema), "suffix-ranks", **_SMALL)
-    columns = ["past", "key", "j", "c", "rank", "lead"]
+    columns = ["past", "key", "j", "at", "c", "rank", "lead"]
     # two rows a range at most
     ends = rows.where("state = 3").groupBy(*order[:4]).agg(F.sum("n").alias("many"), F.min("rank").alias("least")).where("many > 1")
     edges = rows.where("state = 2").join(F.broadcast(ends), order[:4]).withColumn("lead", F.col("lead") & (F.col("rank") == F.col("least"))).withColumn("rank", F.col("least"))
     return rows.where("state = 1").select(*columns).unionByName(edges.select(*columns))
 
 
-def doubled(ranks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(twos, past): samples whose first two phrases repeat, and those whose windows
-    are settled, with lead."""
-    h, past, twos = 1, [], None
+def doubled(ranks: DataFrame) -> DataFrame:
+    """(key, j, lead) of the samples whose windows are settled."""
+    h, found = 1, []
     most = ranks.agg(F.max("c")).first()[0] or 0
-    while h < most or twos is None:
-        done = rerank(pairs(ranks, h, h == 1 or most > 2 * h))
-        past.append(done.where("past = 1").select("key", "j", "lead"))
-        ranks = done.where("past = 0").select("key", "j", "c", "rank")
-        twos = ranks if twos is None else twos
+    while h < most or not found:
+        done = rerank(pairs(ranks, h))
+        found.append(done.where("past = 1").select("key", "j", "lead"))
+        ranks = done.where("past = 0").select("key", "j", "at", "c", "rank")
         h *= 2
-    every = past[0]
-    for p in past[1:]:
+    every = found[0]
+    for p in found[1:]:
         every = every.unionByName(p)
-    return twos.select("key", "j"), every
+    return every
 
 
 def _windows(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the ``width`` bytes from each place on."""
     found = []
     for table, base in ((_TABLE, _BASE), (_OTHER, _BASE2)):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * powers(base, len(data)))])
-        back = powers(pow(base, -1, 2**64), int(at[-1]) + 1)  # the place of a window leaves its sum
+        total, back = _sums(data, table, base)
         found.append(mix64((total[at + width] - total[at]) * back[at]))
     return found[0], found[1].astype(np.uint32)
 
 
-def _open(n: int, at: np.ndarray, nxt: np.ndarray, twos: np.ndarray, past: np.ndarray, lead: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(settled, open, told) windows of a document: repeated for sure, to be
-    compared, and settled ones that stand for their class."""
-    seed, reach = sizes(width)
-    many = n - width + 1
+def _state(raw: bytes, ones, past, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(settled, open, told) windows of a document: repeated for sure, to be compared,
+    and settled ones that stand for their class. ones: samples whose context repeats;
+    past: 2 j + lead of the settled ones."""
+    _, _, before, behind = sizes(width)
+    found, many = Samples([raw], width), len(raw) - width + 1
+    told = np.asarray(past if past is not None else [], np.int64)
+    j, lead = told >> 1, (told & 1) == 1
 
     def over(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         edge = np.zeros(many + 1, np.int64)
@@ -281,31 +285,22 @@ def _open(n: int, at: np.ndarray, nxt: np.ndarray, twos: np.ndarray, past: np.nd
         np.add.at(edge, hi[held], -1)
         return np.cumsum(edge[:-1]) > 0
 
-    settled = over(at[past], nxt[past])
-    told = over(at[past[lead]], nxt[past[lead]])
-    alone = np.ones(max(len(at) - 2, 0), bool)
-    alone[twos[twos < len(alone)]] = False
-    i = np.flatnonzero(alone)
-    # windows that hold these two phrases in the middle
-    never = over(at[i + 2] - (width - reach + 1 - seed), at[i] - reach + 2)
-    return settled, ~settled & ~never, told
+    settled, leads = over(found.lo[j], found.hi[j]), over(found.lo[j[lead]], found.hi[j[lead]])
+    alone = np.ones(len(found.at), bool)
+    alone[np.asarray(ones, np.int64)] = False
+    at = found.at[alone]
+    never = over(at - width + behind, at - before + 1)  # windows with this sample in the middle
+    return settled, ~settled & ~never, leads
 
 
-def candidates(docs: DataFrame, twos: DataFrame, past: DataFrame) -> DataFrame:
-    """(key, text, twos, past): documents with a sample left; past: 2 j + lead."""
-    two = twos.groupBy("key").agg(F.array_sort(F.collect_set("j")).alias("twos"))
+def candidates(docs: DataFrame, ranks: DataFrame, past: DataFrame) -> DataFrame:
+    """(key, text, ones, past): documents with a repeated context."""
+    one = ranks.groupBy("key").agg(F.array_sort(F.collect_set("j")).alias("ones"))
     done = past.groupBy("key").agg(F.array_sort(F.collect_set(F.col("j") * 2 + F.col("lead").cast("int"))).alias("past"))
-    left = two.join(done, "key", "left").withColumnRenamed("key", "__key")
+    left = one.join(done, "key", "left").withColumnRenamed("key", "__key")
     return materialize(_keyed(docs).select("__key", "text").join(left, "__key"), "suffix-candidates", **_SMALL)
 
 
-def _state(raw: bytes, twos, past, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = Samples([raw], width)
-    told = np.asarray(past if past is not None else [], np.int64)
-    j, lead = told >> 1, (told & 1) == 1
-    return _open(len(raw), found.at, found.next, np.asarray(twos, np.int64), j, lead, width)
-
-
 def _ranges(mask: np.ndarray) -> np.ndarray:
     edge = np.diff(mask.astype(np.int8), prepend=0, append=0)
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
@@ -318,9 +313,9 @@ def open_windows(found: DataFrame, width: int) -> DataFrame:
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = blobs.Buffer(list(_WINDOW))
         for batch in batches:
-            for key, text, twos, past in zip(batch["__key"].tolist(), batch["text"], batch["twos"], batch["past"]):
+            for key, text, ones, past in zip(batch["__key"].tolist(), batch["text"], batch["ones"], batch["past"]):
                 raw = _raw([text])[0]
-                _, unclear, told = _state(raw, twos, past, width)
+                _, unclear, told = _state(raw, ones, past, width)
                 at = np.flatnonzero(unclear | told)
                 if not len(at):
                     continue
@@ -353,17 +348,16 @@ def open_windows(found: DataFrame, width: int) -> DataFrame:
 def removed_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__key, spans array of (start, stop) bytes, kept binary) of the documents that
     lose bytes. The key is xxhash64(doc_id, text); equal rows give equal rows."""
-    ranks = materialize(phrases(docs, width), "suffix-phrases", **_SMALL)
-    twos, past = doubled(ranks)
-    found = candidates(docs, twos, past)
+    ranks = materialize(contexts(docs, width), "suffix-contexts", **_SMALL)
+    found = candidates(docs, ranks, doubled(ranks))
     starts = open_windows(found, width)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text, twos, past, blob in zip(batch["__key"].tolist(), batch["text"], batch["twos"], batch["past"], batch["starts"]):
+            for key, text, ones, past, blob in zip(batch["__key"].tolist(), batch["text"], batch["ones"], batch["past"], batch["starts"]):
                 raw = _raw([text])[0]
-                repeated, _, _ = _state(raw, twos, past, width)
+                repeated, _, _ = _state(raw, ones, past, width)
                 if blob is not None:
                     repeated[np.frombuffer(blob, "<u4")] = True
                 spans = _ranges(repeated)

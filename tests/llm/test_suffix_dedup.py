@@ -67,7 +67,8 @@ def test_edited_copies(spark, seed, width):
 def test_classes_over_ranges(spark):
     """A class that fills several ranges keeps one rank and one leader."""
     rows = [(0, 1, 7, 7, k, 0, 3) for k in range(500)] + [(0, 1, 8, k, k, 1, 3) for k in range(50)] + [(1, 1, 7, 7, 9, 9, 3), (0, 1, 9, 9, 1, 4, 3), (0, 1, 9, 9, 2, 4, 3)]
-    found = suffix_dedup.rerank(spark.createDataFrame(rows, "past int, o int, x long, y long, key long, j int, c int")).collect()
+    df = spark.createDataFrame(rows, "past int, apart int, x long, y long, key long, j int, c int").selectExpr("past", "apart", "x", "y", "key", "j", "j as at", "c")
+    found = suffix_dedup.rerank(df).collect()
     big, small = [r for r in found if r["j"] == 0], [r for r in found if r["j"] == 4]
     assert len(found) == 502 and len(big) == 500 and len(small) == 2
     assert len({r["rank"] for r in big}) == 1 and sum(r["lead"] for r in big) == 1 and sum(r["lead"] for r in small) == 1
