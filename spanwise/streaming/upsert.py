@@ -51,7 +51,7 @@ def st4(spark, sf_dir) -> DataFrame:
     samples = DayTable(spark, new_path(spark, "samples"), ["series", "ts", "seq"], SAMPLE)
     facts = DayTable(spark, new_path(spark, "facts"), ["series"], HELD)
     into(_arrivals(spark, sf_dir, late, False), samples, "seq", new_path(spark, "samples-state"), lambda days, _: recompute(samples, facts, days))
-    return facts.read().select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), "samples", F.round("known_s", 3).alias("known_s"), F.round("integral", 4).alias("integral"), F.round("boundary", 6).alias("boundary"))
+    return facts.read().select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), "samples", F.round("known_s", 3).alias("known_s"), F.round(F.col("integral") / 86400, 6).alias("integral"), F.round("boundary", 6).alias("boundary"))
 
 
 QUERIES = {
@@ -61,5 +61,5 @@ span AS (SELECT max(ts)::DATE AS hi FROM events), born AS (SELECT series, min(ts
 grid AS (SELECT series, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM born, span),
 n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY series ORDER BY ts), (SELECT hi + INTERVAL 1 DAY FROM span)) AS until FROM x),
 cut AS (SELECT g.series, g.day, value, epoch_us(least(until, g.day + INTERVAL 1 DAY)) - epoch_us(greatest(n.ts, g.day)) AS us, n.ts >= g.day AS own, n.ts FROM grid g JOIN n ON n.series = g.series AND n.ts < g.day + INTERVAL 1 DAY AND n.until > g.day)
-SELECT series, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (own) AS samples, round(sum(us) / 1e6, 3) AS known_s, round(sum(value * us / 1e6), 4) AS integral, round(arg_max(value, ts), 6) AS boundary FROM cut GROUP BY 1, 2"""),
+SELECT series, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (own) AS samples, round(sum(us) / 1e6, 3) AS known_s, round(sum(value * us / 1e6) / 86400, 6) AS integral, round(arg_max(value, ts), 6) AS boundary FROM cut GROUP BY 1, 2"""),
 }
