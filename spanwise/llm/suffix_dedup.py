@@ -15,8 +15,9 @@ looked at only where a repeated stretch begins or ends.
    when its contexts hold all windows that start with its own; the last offset is cut
    to just that, and if the class has more members all those windows repeat.
 3. Ends: a window not settled so, whose middle samples all repeat, is compared by a
-   hash of its ``width`` bytes (96 bits) with others of its kind and with the settled
-   windows of one member of each class.
+   hash of its ``width`` bytes (96 bits) with others of its kind and with settled windows:
+   those of one member of each class, where a window to be compared has the same first
+   context (a table of 2**``BITS`` bits; what it lets through by chance is compared in vain).
 
 The sort's key ends in the position, so a class that a third of all rows share is
 spread over ranges; classes at the edges of ranges are put together from two rows a
@@ -40,11 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwise.llm import blobs
+from spanwise.llm.collocations import _bits, _listed, _slot
 from spanwise.llm.substring_dedup import _counts, _keyed, _least
 from spanwise.llm.words import _BASE, _TABLE, inside, mix64, powers
 from spanwise.session import load, materialize, partitions
 
 WIDTH = 400
+#: The table of contexts of windows to be compared has 2**BITS bits, whatever the corpus.
+BITS = 26
 _OTHER = np.random.default_rng(20250611).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE2 = 0xC2B2AE3D27D4EB4F | 1
 _CONTEXT = {"h": "u8", "key": "i8", "j": "u4", "at": "u4", "c": "u2", "weight": "u1"}
@@ -268,10 +272,10 @@ def _windows(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray,
     return found[0], found[1].astype(np.uint32)
 
 
-def _state(raw: bytes, ones, past, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _state(raw: bytes, ones, past, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Samples]:
     """(settled, open, told) windows of a document: repeated for sure, to be compared,
-    and settled ones that stand for their class. ones: samples whose context repeats;
-    past: 2 j + lead of the settled ones."""
+    and settled ones that stand for their class; and its samples. ones: samples whose
+    context repeats; past: 2 j + lead of the settled ones."""
     _, _, before, behind = sizes(width)
     found, many = Samples([raw], width), len(raw) - width + 1
     told = np.asarray(past if past is not None else [], np.int64)
@@ -290,7 +294,7 @@ def _state(raw: bytes, ones, past, width: int) -> tuple[np.ndarray, np.ndarray,
     alone[np.asarray(ones, np.int64)] = False
     at = found.at[alone]
     never = over(at - width + behind, at - before + 1)  # windows with this sample in the middle
-    return settled, ~settled & ~never, leads
+    return settled, ~settled & ~never, leads, found
 
 
 def candidates(docs: DataFrame, ranks: DataFrame, past: DataFrame) -> DataFrame:
@@ -306,21 +310,42 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
-def open_windows(found: DataFrame, width: int) -> DataFrame:
+def _first_context(found: Samples, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the context of the first sample in the middle of each window."""
+    return found.h[np.searchsorted(found.at, at + sizes(width)[2])]
+
+
+def _asked(found: DataFrame, width: int, bits: int) -> DataFrame:
+    """(slot): of the first contexts of windows to be compared."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slots = [np.zeros(0, np.int64)]
+            for text, ones, past in zip(batch["text"], batch["ones"], batch["past"]):
+                _, unclear, _, samples = _state(_raw([text])[0], ones, past, width)
+                slots.append(np.unique(_slot(_first_context(samples, np.flatnonzero(unclear), width), bits)))
+            yield pd.DataFrame({"slot": np.unique(np.concatenate(slots))})
+
+    return found.select("text", "ones", "past").mapInPandas(task, "slot long")
+
+
+def open_windows(found: DataFrame, width: int, bits: int = BITS) -> DataFrame:
     """(key, starts binary): starts of the repeated windows among those to be compared."""
     buckets = blobs.bucket_count(found.sparkSession)
+    table = found.sparkSession.sparkContext.broadcast(_bits(_asked(found, width, bits), bits))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = blobs.Buffer(list(_WINDOW))
         for batch in batches:
             for key, text, ones, past in zip(batch["__key"].tolist(), batch["text"], batch["ones"], batch["past"]):
                 raw = _raw([text])[0]
-                _, unclear, told = _state(raw, ones, past, width)
-                at = np.flatnonzero(unclear | told)
+                _, unclear, told, samples = _state(raw, ones, past, width)
+                told = np.flatnonzero(told)
+                at = np.concatenate([np.flatnonzero(unclear), told[_listed(table.value, _first_context(samples, told, width)) == 1]])
                 if not len(at):
                     continue
-                h, tag = _windows(np.frombuffer(raw, np.uint8), at, width)
                 weight = np.where(unclear[at], _ONE, _TOLD).astype(np.uint8)
+                h, tag = _windows(np.frombuffer(raw, np.uint8), at, width)
                 if held.add(h, tag, np.full(len(at), key, np.int64), at.astype(np.uint32), weight):
                     yield _combine(held.take(), ["h", "tag"], buckets)
         if (rest := held.take()) is not None:
@@ -357,7 +382,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             rows = []
             for key, text, ones, past, blob in zip(batch["__key"].tolist(), batch["text"], batch["ones"], batch["past"], batch["starts"]):
                 raw = _raw([text])[0]
-                repeated, _, _ = _state(raw, ones, past, width)
+                repeated, _, _, _ = _state(raw, ones, past, width)
                 if blob is not None:
                     repeated[np.frombuffer(blob, "<u4")] = True
                 spans = _ranges(repeated)
