@@ -35,10 +35,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanwise.llm import blobs
-from spanwise.session import load
+from spanwise.session import load, materialize
 
 ORDER = 3
 DECAY = 0.7
@@ -280,8 +279,20 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     return Model(marks, root, weight, bias, (max(a, 1e-3), b), uuid.uuid4().hex)
 
 
+def _fitting(rows: list, budget: int | None = None) -> list[int]:
+    """Of each label the shortest texts that fit its half of the characters, one at
+    least: a text beyond that leaves itself out and no other."""
+    out = []
+    for label in sorted({r["toxic"] for r in rows}):
+        some = sorted((r["chars"], r["row"]) for r in rows if r["toxic"] == label)
+        fits = int(np.searchsorted(np.cumsum([n for n, _ in some]), (TRAIN_CHARS if budget is None else budget) // 2, side="right"))
+        out += [row for _, row in some[: max(fits, 1)]]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model of a bounded sample of docs (doc_id, text) labelled in labels."""
+    """A model of a bounded sample of docs (doc_id, text) labelled in labels. Of each
+    label the shortest texts that fit half of ``TRAIN_CHARS`` characters serve."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 1) / float(2**63))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -289,9 +300,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = marked.where(F.col("h") < rate).select("doc_id", "toxic", "h").orderBy("h", "doc_id").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
     found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic", "h").distinct()
     # repeated ids bring more texts: the rows and characters on the driver are bounded all the same
-    found = found.orderBy("h", "doc_id", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
-    so_far = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id", "text"))
-    rows = found.withColumn("__chars", so_far).where(F.col("__chars") <= TRAIN_CHARS).select("text", "toxic").orderBy("text", "toxic").collect()
+    found = materialize(found.orderBy("h", "doc_id", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)), "toxicity-sample").select("*", F.length("text").alias("chars"), F.xxhash64("doc_id", "text").alias("row"))
+    kept = docs.sparkSession.createDataFrame([(r,) for r in _fitting(found.select("toxic", "chars", "row").collect())], "row long")
+    rows = found.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic").orderBy("text", "toxic").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -48,3 +48,17 @@ def test_cases(spark):
     assert all(got[i, t] == (i % 4 == 0) for i, t in rows)
     assert {r["score"] for r in tx.score(docs, tx.train(docs, labels.limit(0))).collect()} == {0.0}
     assert tx.score(docs.limit(0), model).collect() == []
+
+
+def test_texts_above_the_budget_leave_only_themselves_out(spark, monkeypatch):
+    """One labelled text longer than all room for training, wherever its hash puts it."""
+    monkeypatch.setattr(tx, "TRAIN_CHARS", 20_000)
+    clean = "the house on the hill stands near a lake. "
+    rows = [(i, clean + ("you utter numbskull blockhead. " if i % 4 == 0 else "")) for i in range(120)]
+    for giant, label in ((7, 0), (8, 1)):
+        docs = spark.createDataFrame([(i, clean * 2_000 + t if i == giant else t) for i, t in rows], "doc_id long, text string")
+        model = tx.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int"))
+        got = {r["doc_id"]: r["predicted"] for r in tx.score(docs, model).collect()}
+        assert all(got[i] == (i % 4 == 0) for i, _ in rows)
+    some = [{"toxic": 0, "chars": 90, "row": 1}, {"toxic": 1, "chars": 5, "row": 2}, {"toxic": 1, "chars": 70, "row": 3}, {"toxic": 1, "chars": 4, "row": 4}]
+    assert tx._fitting(some, 100) == [1, 4, 2]
