@@ -4,8 +4,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from spanwise.operators import intervals as iv, operations, selection
+from spanwise.operators import intervals as iv, operations, recovery, selection
 from spanwise.plans.facts import VAL, _pair
 from spanwise.plans.telemetry import DAY, S, samples
 
@@ -67,3 +68,33 @@ SELECT series, CASE WHEN NOT a THEN 'insufficient_state_coverage' WHEN NOT o THE
         "sc", "oc", "obs", "req", "CASE WHEN q THEN starts / (req / 3600) END", "CASE WHEN o THEN starts / (obs / 3600) END", "CASE WHEN a THEN md END", "CASE WHEN a THEN p90 END", "CASE WHEN a THEN longest END", "CASE WHEN q THEN fl / req END", "CASE WHEN q THEN (req - fl) / req END",
         "CASE WHEN m THEN mean END", "CASE WHEN m THEN med END", "CASE WHEN f THEN fmed END", "CASE WHEN f THEN fp90 END", "CASE WHEN f THEN greatest(top, 0) END"))) + " FROM z"),
 }
+
+
+def _intervals(spark, sf):
+    """From sample to sample: a purchase or an unknown value opens, 150 is the target."""
+    own = Window.partitionBy("series").orderBy("ts", "seq")
+    rows = samples(spark, sf).withColumns({"end": F.lead("ts").over(own), "then": F.lead("value").over(own)}).withColumnRenamed("ts", "start").where("end > start")
+    unknown = F.col("value").isNull() | F.col("then").isNull()
+    calm = recovery.steady(F.col("value"), F.col("then"), F.lit(150.0), F.col("kind") == "purchase", 100.0, 40.0)
+    return rows.select("series", "seq", "start", "end", ((F.col("kind") == "purchase") | unknown).alias("opens"), calm.alias("steady"), F.coalesce(F.col("k") < 80, F.lit(False)).alias("measured"))
+
+
+def ev13(spark, sf):
+    return recovery.recovering(_intervals(spark, sf), "series").select("series", "seq", "recovering")
+
+
+def ev13_days(spark, sf):
+    found = recovery.windows(recovery.recovering(_intervals(spark, sf), "series"), "series")
+    return found.select("series", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("recovering_s", 3).alias("recovering_s"), "intervals")
+
+
+_RECOVERY = S + """, i0 AS (SELECT series, seq, ts AS "start", lead(ts) OVER w AS "end", kind, k, value, lead(value) OVER w AS thn FROM s WINDOW w AS (PARTITION BY series ORDER BY ts, seq)),
+i1 AS (SELECT *, kind = 'purchase' OR value IS NULL OR thn IS NULL AS opens, coalesce(abs(thn - 150) <= 100 AND abs(thn - value) * 3600 / ((epoch_us("end") - epoch_us("start")) / 1e6) <= 40 AND kind <> 'purchase', false) AS calm FROM i0 WHERE "end" > "start"),
+i2 AS (SELECT *, calm AND NOT opens AND coalesce(k < 80, false) AS hit, CASE WHEN opens OR NOT calm OR coalesce(lag("end") OVER w <> "start", true) THEN 1 ELSE 0 END AS r FROM i1 WINDOW w AS (PARTITION BY series ORDER BY "start", "end")),
+i3 AS (SELECT *, sum(r) OVER (PARTITION BY series ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS part FROM i2), i4 AS (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY series, part ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS hits FROM i3),
+i5 AS (SELECT *, CASE WHEN opens THEN true WHEN hit AND hits = 3 THEN false END AS event FROM i4),
+rec AS (SELECT *, opens OR coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY series ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS recovering FROM i5)"""
+QUERIES |= {
+    "EV13_recovery_days": (ev13, _RECOVERY + " SELECT series, seq, recovering FROM rec"),
+    "EV13_left_out": (ev13_days, _RECOVERY + """ SELECT series, strftime("start", '%Y-%m-%d') AS day, round(sum(CASE WHEN recovering THEN (epoch_us("end") - epoch_us("start")) / 1e6 ELSE 0 END), 3) AS recovering_s, count(*) AS intervals FROM rec GROUP BY 1, 2"""),
+}
