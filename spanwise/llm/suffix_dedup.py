@@ -20,8 +20,7 @@ looked at only where a repeated stretch begins or ends.
    context (a table of 2**``BITS`` bits; what it lets through by chance is compared in vain).
 
 The sort's key ends in the position, so a class that a third of all rows share is
-spread over ranges; classes at the edges of ranges are put together from two rows a
-range. Contexts and windows that a task meets twice go on as one witness.
+spread over ranges; rows alone in their range meet their class by two rows a range. Contexts and windows that a task meets twice go on as one witness.
 
 Cases: null and empty texts have no bytes. Texts shorter than the width keep all.
 Repeated rows count as documents of their own. Null or repeated doc_ids are fine: rows
@@ -208,16 +207,15 @@ def pairs(ranks: DataFrame, h: int) -> DataFrame:
 
 def rerank(found: DataFrame) -> DataFrame:
     """(past, key, j, at, c, rank, lead) of the pairs that are not alone: equal pairs
-    have one rank, and one of them leads."""
+    have one rank, a 64-bit name of the pair, and one of them leads."""
     order = ["past", "apart", "x", "y", "key", "j"]
+    columns = ["past", "key", "j", "at", "c", "rank", "lead"]
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
+        held = [b for b in batches if len(b)]
         if not held:
             return
         rows = pd.concat(held, ignore_index=True)
-        if not len(rows):
-            return
         cols = [rows[x].to_numpy() for x in order[:4]]
         new = np.zeros(len(rows), bool)
         new[0] = True
@@ -226,26 +224,27 @@ def rerank(found: DataFrame) -> DataFrame:
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(rows)))
         of = np.cumsum(new) - 1
-        base = np.int64(TaskContext.get().partitionId()) << 40
-        rank = base + start[of]
-        edge = (of == 0) | (of == len(start) - 1)
-        kept = edge | (size[of] > 1)
-        out = rows[kept].reset_index(drop=True)
-        out["rank"], out["lead"], out["state"], out["n"] = rank[kept], new[kept], np.where(edge[kept], 2, 1).astype(np.int32), np.int64(0)
-        yield out
+        # alone in its range, but the range next to it may hold more of its class
+        unsure = (size[of] == 1) & ((of == 0) | (of == len(start) - 1))
         ends = np.unique([0, len(start) - 1])
+        kept = np.flatnonzero((size[of] > 1) | unsure)
+        name = mix64(mix64(cols[2].view(np.uint64) + np.uint64(_BASE)) + cols[3].view(np.uint64) * np.uint64(_BASE2) + cols[1].astype(np.uint64))
+        out = rows.iloc[kept].reset_index(drop=True)
+        mine = TaskContext.get().partitionId()
+        heads = new & (of == 0)  # its class may have begun in a range before
+        out["rank"], out["lead"], out["state"], out["n"] = name[kept].view(np.int64), new[kept], np.where((unsure | heads)[kept], 2, 1).astype(np.int32), np.int64(mine)
+        yield out
         told = rows.iloc[start[ends]].reset_index(drop=True)
-        told["rank"], told["lead"], told["state"], told["n"] = base + start[ends], False, np.int32(3), size[ends].astype(np.int64)
+        told["rank"], told["lead"], told["state"], told["n"] = np.int64(mine), False, np.int32(3), size[ends].astype(np.int64)
         yield told
 
     schema = "past int, apart int, x long, y long, key long, j int, at int, c int, rank long, lead boolean, state int, n long"
     dealt = found.repartitionByRange(partitions(found.sparkSession), *order).sortWithinPartitions(*order)
     rows = materialize(dealt.mapInPandas(mark, schema), "suffix-ranks", **_SMALL)
-    columns = ["past", "key", "j", "at", "c", "rank", "lead"]
-    # two rows a range at most
-    ends = rows.where("state = 3").groupBy(*order[:4]).agg(F.sum("n").alias("many"), F.min("rank").alias("least")).where("many > 1")
-    edges = rows.where("state = 2").join(F.broadcast(ends), order[:4]).withColumn("lead", F.col("lead") & (F.col("rank") == F.col("least"))).withColumn("rank", F.col("least"))
-    return rows.where("state = 1").select(*columns).unionByName(edges.select(*columns))
+    # two rows a range at most, on both sides
+    ends = rows.where("state = 3").groupBy(*order[:4]).agg(F.sum("n").alias("many"), F.min("rank").alias("began")).where("many > 1")
+    unsure = rows.where("state = 2").join(F.broadcast(ends), order[:4]).withColumn("lead", F.col("lead") & (F.col("n") == F.col("began")))
+    return rows.where("state = 1").select(*columns).unionByName(unsure.select(*columns))
 
 
 def doubled(ranks: DataFrame) -> DataFrame:
@@ -297,12 +296,34 @@ def _state(raw: bytes, ones, past, width: int) -> tuple[np.ndarray, np.ndarray,
     return settled, ~settled & ~never, leads, found
 
 
-def candidates(docs: DataFrame, ranks: DataFrame, past: DataFrame) -> DataFrame:
-    """(key, text, ones, past): documents with a repeated context."""
+def candidates(docs: DataFrame, ranks: DataFrame, past: DataFrame, width: int) -> DataFrame:
+    """Documents with a repeated context: __key, text, the settled, open and told windows
+    (ranges), and the samples (at, h)."""
     one = ranks.groupBy("key").agg(F.array_sort(F.collect_set("j")).alias("ones"))
     done = past.groupBy("key").agg(F.array_sort(F.collect_set(F.col("j") * 2 + F.col("lead").cast("int"))).alias("past"))
     left = one.join(done, "key", "left").withColumnRenamed("key", "__key")
-    return materialize(_keyed(docs).select("__key", "text").join(left, "__key"), "suffix-candidates", **_SMALL)
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in blobs.slices(batch, "text"):
+                rows = []
+                for key, text, ones, done in zip(part["__key"].tolist(), part["text"], part["ones"], part["past"]):
+                    *windows, found = _state(_raw([text])[0], ones, done, width)
+                    rows.append((key, text, *[_ranges(w).astype("<i4").tobytes() for w in windows], found.at.astype("<i4").tobytes(), found.h.tobytes()))
+                yield pd.DataFrame(rows, columns=["__key", "text", "settled", "open", "told", "at", "h"])
+
+    joined = _keyed(docs).select("__key", "text").join(left, "__key")
+    return materialize(joined.mapInPandas(task, "__key long, text string, settled binary, open binary, told binary, at binary, h binary"), "suffix-candidates", **_SMALL)
+
+
+def _spans(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i4").reshape(-1, 2).astype(np.int64)
+
+
+def _each(spans: np.ndarray) -> np.ndarray:
+    """All places in the ranges."""
+    size = spans[:, 1] - spans[:, 0]
+    return np.repeat(spans[:, 0] - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def _ranges(mask: np.ndarray) -> np.ndarray:
@@ -310,43 +331,41 @@ def _ranges(mask: np.ndarray) -> np.ndarray:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], axis=1)
 
 
-def _first_context(found: Samples, at: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the context of the first sample in the middle of each window."""
-    return found.h[np.searchsorted(found.at, at + sizes(width)[2])]
-
-
 def _asked(found: DataFrame, width: int, bits: int) -> DataFrame:
-    """(slot): of the first contexts of windows to be compared."""
+    """(slot): of the first contexts of windows to be compared. The first context of a
+    window is that of the first sample in its middle."""
+    before = sizes(width)[2]
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             slots = [np.zeros(0, np.int64)]
-            for text, ones, past in zip(batch["text"], batch["ones"], batch["past"]):
-                _, unclear, _, samples = _state(_raw([text])[0], ones, past, width)
-                slots.append(np.unique(_slot(_first_context(samples, np.flatnonzero(unclear), width), bits)))
+            for unclear, at, h in zip(batch["open"], batch["at"], batch["h"]):
+                at, spans = np.frombuffer(at, "<i4"), _spans(unclear)
+                used = np.stack([np.searchsorted(at, spans[:, 0] + before), np.searchsorted(at, spans[:, 1] - 1 + before) + 1], axis=1)
+                slots.append(np.unique(_slot(np.frombuffer(h, "<u8")[_each(used)], bits)))
             yield pd.DataFrame({"slot": np.unique(np.concatenate(slots))})
 
-    return found.select("text", "ones", "past").mapInPandas(task, "slot long")
+    return found.select("open", "at", "h").mapInPandas(task, "slot long")
 
 
 def open_windows(found: DataFrame, width: int, bits: int = BITS) -> DataFrame:
     """(key, starts binary): starts of the repeated windows among those to be compared."""
-    buckets = blobs.bucket_count(found.sparkSession)
+    buckets, before = blobs.bucket_count(found.sparkSession), sizes(width)[2]
     table = found.sparkSession.sparkContext.broadcast(_bits(_asked(found, width, bits), bits))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = blobs.Buffer(list(_WINDOW))
         for batch in batches:
-            for key, text, ones, past in zip(batch["__key"].tolist(), batch["text"], batch["ones"], batch["past"]):
-                raw = _raw([text])[0]
-                _, unclear, told, samples = _state(raw, ones, past, width)
-                told = np.flatnonzero(told)
-                at = np.concatenate([np.flatnonzero(unclear), told[_listed(table.value, _first_context(samples, told, width)) == 1]])
-                if not len(at):
+            for key, text, unclear, told, at, h in zip(batch["__key"].tolist(), batch["text"], batch["open"], batch["told"], batch["at"], batch["h"]):
+                wanted = _listed(table.value, np.frombuffer(h, "<u8")) == 1
+                unclear, told = _each(_spans(unclear)), _each(_spans(told))
+                told = told[wanted[np.searchsorted(np.frombuffer(at, "<i4"), told + before)]]
+                places = np.concatenate([unclear, told])
+                if not len(places):
                     continue
-                weight = np.where(unclear[at], _ONE, _TOLD).astype(np.uint8)
-                h, tag = _windows(np.frombuffer(raw, np.uint8), at, width)
-                if held.add(h, tag, np.full(len(at), key, np.int64), at.astype(np.uint32), weight):
+                weight = np.repeat(np.array([_ONE, _TOLD], np.uint8), [len(unclear), len(told)])
+                h, tag = _windows(np.frombuffer(_raw([text])[0], np.uint8), places, width)
+                if held.add(h, tag, np.full(len(places), key, np.int64), places.astype(np.uint32), weight):
                     yield _combine(held.take(), ["h", "tag"], buckets)
         if (rest := held.take()) is not None:
             yield _combine(rest, ["h", "tag"], buckets)
@@ -365,7 +384,7 @@ def open_windows(found: DataFrame, width: int, bits: int = BITS) -> DataFrame:
         ends = np.append(cut[1:], len(key))
         return pd.DataFrame({"__key": key[cut], "starts": [at[a:b].tobytes() for a, b in zip(cut, ends)]})
 
-    rows = found.mapInPandas(emit, blobs.schema(_WINDOW))
+    rows = found.select("__key", "text", "open", "told", "at", "h").mapInPandas(emit, blobs.schema(_WINDOW))
     hits = rows.groupBy("bucket").applyInPandas(decide, "bucket int, key binary, at binary")
     return hits.groupBy("bucket").applyInPandas(collect, "__key long, starts binary")
 
@@ -374,21 +393,20 @@ def removed_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(__key, spans array of (start, stop) bytes, kept binary) of the documents that
     lose bytes. The key is xxhash64(doc_id, text); equal rows give equal rows."""
     ranks = materialize(contexts(docs, width), "suffix-contexts", **_SMALL)
-    found = candidates(docs, ranks, doubled(ranks))
+    found = candidates(docs, ranks, doubled(ranks), width)
     starts = open_windows(found, width)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, text, ones, past, blob in zip(batch["__key"].tolist(), batch["text"], batch["ones"], batch["past"], batch["starts"]):
-                raw = _raw([text])[0]
-                repeated, _, _, _ = _state(raw, ones, past, width)
+            for key, text, settled, blob in zip(batch["__key"].tolist(), batch["text"], batch["settled"], batch["starts"]):
+                raw, spans = _raw([text])[0], _spans(settled)
+                edge = np.zeros(len(raw) + 1, np.int64)
                 if blob is not None:
-                    repeated[np.frombuffer(blob, "<u4")] = True
-                spans = _ranges(repeated)
+                    at = np.frombuffer(blob, "<u4").astype(np.int64)
+                    spans = np.concatenate([spans, np.stack([at, at + 1], axis=1)])
                 if not len(spans):
                     continue
-                edge = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(edge, spans[:, 0], 1)
                 np.add.at(edge, spans[:, 1] - 1 + width, -1)
                 gone = np.cumsum(edge[:-1]) > 0
@@ -396,7 +414,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 rows.append((key, [{"start": int(a), "stop": int(b)} for a, b in _ranges(gone)], kept))
             yield pd.DataFrame(rows, columns=["__key", "spans", "kept"])
 
-    return found.join(starts, "__key", "left").mapInPandas(cut, "__key long, spans array<struct<start: int, stop: int>>, kept binary")
+    return found.select("__key", "text", "settled").join(starts, "__key", "left").mapInPandas(cut, "__key long, spans array<struct<start: int, stop: int>>, kept binary")
 
 
 def removed_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
