@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["plans.core", "plans.telemetry", "plans.ingest", "plans.facts", "plans.episodes", "plans.consumption", "plans.observations", "plans.scalars", "plans.fits", "plans.operations", "plans.hot", "streaming.telemetry", "streaming.state", "streaming.upsert"]
+MODULES = ["plans.core", "plans.telemetry", "plans.ingest", "plans.facts", "plans.episodes", "plans.consumption", "plans.observations", "plans.scalars", "plans.fits", "plans.operations", "plans.hot", "plans.evidence", "streaming.telemetry", "streaming.state", "streaming.upsert"]
 
 
 def _all() -> dict:
