@@ -77,5 +77,9 @@ def text_value(value: Column) -> Column:
 
 
 def bounded_text(value: Column, most: int) -> Column:
-    """Text of at most ``most`` characters; a longer one ends in # and 12 digits of its hash."""
-    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - 13), F.lit("#"), F.substring(F.sha2(value, 256), 1, 12)))
+    """Text of at most ``most`` bytes of UTF-8; a longer one is cut between characters
+    and ends in a colon and 12 digits of its hash."""
+    raw, room = value.cast("binary"), max(0, most - 13)
+    cuts = [F.substring(raw, 1, max(0, room - k)).cast("string") for k in range(4)]  # a character has four bytes at most
+    kept = F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts], F.lit(""))
+    return F.when(F.octet_length(value) <= most, value).otherwise(F.concat(kept, F.lit(":"), F.substring(F.sha2(raw, 256), 1, 12)))

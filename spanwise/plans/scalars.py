@@ -44,5 +44,5 @@ b AS (SELECT *, 0.006918 - 0.399912 * cos(x) + 0.070257 * sin(x) - 0.006758 * co
 SELECT seq, round(CASE WHEN h BETWEEN -1 AND 1 THEN 720 - 4 * (lon + degrees(acos(CASE WHEN h BETWEEN -1 AND 1 THEN h ELSE 0 END))) - eq END, 6) AS minutes FROM c"""),
     "SC_price_text": (prices, """SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 THEN rtrim(rtrim(CAST(o_orderkey + CAST(o_custkey * 10 % 1000000 AS DECIMAL(18,6)) / 1000000::DECIMAL(18,6) AS DECIMAL(18,6))::VARCHAR, '0'), '.') END AS price FROM orders"""),
     "SC_fingerprint": (prints, f"""SELECT o_orderkey, 'v1:' || sha256('{{"limit":' || CASE WHEN o_custkey % 3 = 0 THEN {_HALF} ELSE 'null' END || ',"status":"' || o_orderstatus || '","total":' || {_HALF} || '}}') AS fingerprint FROM orders"""),
-    "SC_bounded_text": (bounded, """SELECT c_custkey, CASE WHEN length(n) <= 24 THEN n ELSE n[1:11] || '#' || sha256(n)[1:12] END AS name FROM (SELECT c_custkey, c_name || '/' || c_mktsegment AS n FROM customer)"""),
+    "SC_bounded_text": (bounded, """SELECT c_custkey, CASE WHEN length(n) <= 24 THEN n ELSE n[1:11] || ':' || sha256(n)[1:12] END AS name FROM (SELECT c_custkey, c_name || '/' || c_mktsegment AS n FROM customer)"""),
 }

@@ -42,6 +42,17 @@ def test_fingerprints(spark):
     assert got == ["v:" + hashlib.sha256(json.dumps(w, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for w in want]
 
 
+def test_bounded_text(spark):
+    def plain(text, most):
+        raw = text.encode()
+        return text if len(raw) <= most else raw[: max(0, most - 13)].decode(errors="ignore") + ":" + hashlib.sha256(raw).hexdigest()[:12]
+
+    texts = ["", "short", "x" * 24, "x" * 25, "é" * 12, "é" * 13, "a" + "é" * 20, "ab" + "你" * 9, "abc" + "\U0001f600" * 8, "a\ufffd" * 12]
+    for most in (24, 13, 5):
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(sc.bounded_text(F.col("t"), most)).collect()]
+        assert got == [plain(t, most) for t in texts]
+
+
 def stream(spark, folder, batches, schema):
     """A stream with a micro-batch for each list of rows."""
     import os
