@@ -65,7 +65,7 @@ def quality(df: DataFrame, key: str, ts: str, value: str, start: Column, end: Co
         g = rows.groupBy(key).agg(F.count("__gap").alias("__n"), F.median("__gap").alias("__mid"), F.min("__gap").alias("__least"))
         usual = F.when(F.col("__n") >= 10, F.col("__mid")).otherwise(F.least("__mid", 3 * F.col("__least")))
         g = g.select(key, F.greatest(2.5 * F.least(F.coalesce(usual, whole), F.lit(slowest)), F.lit(60.0)).alias("__cap"))
-        rows = rows.join(g, key)  # an aggregate joined back: a hot series is combined before the shuffle
+        rows = rows.join(g, key)  # an aggregate joined back; the window of the gaps has sent each series to one task by then
     else:
         rows = rows.withColumn("__cap", F.lit(max(2.5 * cadence, 60.0)))
     jumped = (F.col("__step") > jump) & (F.try_divide(F.col("__step") * 3600, F.col("__gap")) > rate)
