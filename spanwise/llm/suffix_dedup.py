@@ -30,13 +30,13 @@ so kept bytes are binary. An empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanwise.llm import blobs
@@ -109,6 +109,19 @@ class Samples:
         self.c = np.where(self.lo < self.hi, np.searchsorted(right, enough) - np.arange(len(at)) + 1, 0)
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of 1,000 rows for the jobs within: whole texts go in and come out,
+    so the usual 10,000 would fill a worker's and the writer's memory several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def _raw(texts) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
@@ -313,7 +326,8 @@ def candidates(docs: DataFrame, ranks: DataFrame, past: DataFrame, width: int) -
                 yield pd.DataFrame(rows, columns=["__key", "text", "settled", "open", "told", "at", "h"])
 
     joined = _keyed(docs).select("__key", "text").join(left, "__key")
-    return materialize(joined.mapInPandas(task, "__key long, text string, settled binary, open binary, told binary, at binary, h binary"), "suffix-candidates", **_SMALL)
+    with _few_rows(docs.sparkSession):
+        return materialize(joined.mapInPandas(task, "__key long, text string, settled binary, open binary, told binary, at binary, h binary"), "suffix-candidates", **_SMALL)
 
 
 def _spans(blob: bytes) -> np.ndarray:
@@ -397,7 +411,7 @@ def removed_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     starts = open_windows(found, width)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in blobs.slices(whole, "text")):
             rows = []
             for key, text, settled, blob in zip(batch["__key"].tolist(), batch["text"], batch["settled"], batch["starts"]):
                 raw, spans = _raw([text])[0], _spans(settled)
@@ -419,8 +433,11 @@ def removed_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def removed_bytes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    spark = docs.sparkSession
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
-    cut = removed_spans(docs, width).select("__key", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha")).dropDuplicates(["__key"])
+    cut = removed_spans(docs, width).select("__key", lost.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("sha"))
+    with _few_rows(spark):
+        cut = materialize(cut, "suffix-removed").dropDuplicates(["__key"])
     whole = F.coalesce("text", F.lit("")).cast("binary")
     every = _keyed(docs).select("doc_id", "__key", F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("whole"))
     none = F.lit(0).cast("long")
