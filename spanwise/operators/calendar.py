@@ -30,13 +30,18 @@ def midnight(day: Column, zone: str) -> Column:
     return F.to_utc_timestamp(day.cast("timestamp"), zone)
 
 
-def scheduled(df: DataFrame, first: str, today: str, weekly_cutoff: str, keys: list[str]) -> DataFrame:
+def scheduled(df: DataFrame, first: str, today: str, weekly_cutoff: str, keys: list[str], latest: int | None = None) -> DataFrame:
     """Completed weeks and months between two days of each row, and seasons up to
-    the day they are observed to; the latest of a kind first."""
-    days = F.explode(F.sequence(F.col(first), F.date_sub(F.col(today), 1)))
-    spine = df.withColumn("__day", days)
-    rows = [spine.select(*keys, today, F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(period_of(kind, F.col("__day")), ("first", "after"))]).where(f"after <= {today}").drop(today) for kind in ("weekly", "monthly")]
-    season = spine.withColumn("s", season_of(F.col("__day")))
-    observed = F.when(F.col("s.after") <= F.col(today), F.col("s.after")).otherwise(F.col(weekly_cutoff))
-    rows.append(season.withColumn("o", observed).where("o > s.first").select(*keys, F.lit("seasonal").alias("kind"), "s.first", F.col("o").alias("after")))
-    return rows[0].union(rows[1]).union(rows[2]).distinct()
+    the day they are observed to. latest: only so many of a kind from each row, the
+    latest; a key's latest are among those of its rows. No row is made for a day."""
+    a, t = F.col(first), F.col(today)
+    starts = lambda low, high, step: F.when(low <= high, F.sequence(low, high, F.expr(f"interval {step}")))
+    period = lambda kind, after: lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("first"), after(f).alias("after"))
+    observed = lambda f: F.when(F.add_months(f, 3) <= t, F.add_months(f, 3)).otherwise(F.col(weekly_cutoff))
+    found = [
+        F.transform(starts(F.trunc(a, "week"), F.date_sub(t, 7), "7 days"), period("weekly", lambda f: F.date_add(f, 7))),
+        F.transform(starts(F.trunc(a, "month"), F.add_months(F.trunc(t, "month"), -1), "1 month"), period("monthly", lambda f: F.add_months(f, 1))),
+        F.filter(F.transform(starts(season_of(a)["first"], season_of(F.date_sub(t, 1))["first"], "3 months"), period("seasonal", observed)), lambda p: p["after"] > p["first"]),
+    ]
+    kept = [F.coalesce(x if latest is None else F.slice(F.reverse(x), 1, latest), F.array()) for x in found]
+    return df.where(a < t).select(*keys, F.explode(F.concat(*kept)).alias("__p")).select(*keys, "__p.*").distinct()
