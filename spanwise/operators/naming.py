@@ -1,8 +1,8 @@
 """Units, roles and commanded series by a table of rules.
 
 A rule names series by exact source and metric (or any) and by words of a text. It
-is a row; the series' distinct keys meet their rules in one equi-join, and of
-those that fit the one of least rank stays. ``rules()`` gives the rows of
+is a row; the series meet their rules by equi-joins with the table, which is broadcast
+(it has to fit in a task), and of those that fit the one of least rank stays. ``rules()`` gives the rows of
 ``naming_rules.csv``; callers may pass others."""
 
 from __future__ import annotations
@@ -27,22 +27,24 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, gives string, source string, metric string, words string, also string, value string, confidence double")
 
 
-def _holds(text: str, words: str) -> Column:
-    return (F.col(words) == "") | F.exists(F.split(words, r"\|"), lambda w: F.col(text).contains(w))
+def _holds(text: str, words: Column) -> Column:
+    return (F.size(words) == 0) | F.exists(words, lambda w: F.col(text).contains(w))
 
 
 def named(series: DataFrame, table: DataFrame, gives: str, text: Column) -> DataFrame:
     """series with value and confidence of the first rule that fits (null: none).
-    series has source and metric; text is what words are looked for in, in lower case."""
-    key = {"__s": F.coalesce("source", F.lit("")), "__m": F.coalesce("metric", F.lit("")), "__t": F.lower(text)}
-    keyed = series.withColumns(key)
-    pair = lambda s, m: F.struct(s.alias("source"), m.alias("metric"))
-    every = F.lit(ANY)
-    asked = keyed.select("__s", "__m", "__t").distinct().withColumn("__k", F.explode(F.array(pair(F.col("__s"), F.col("__m")), pair(F.col("__s"), every), pair(every, F.col("__m")), pair(every, every))))
-    asked = asked.select("__s", "__m", "__t", "__k.*")
-    hits = asked.join(table.where(F.col("gives") == gives), ["source", "metric"]).where(_holds("__t", "words") & _holds("__t", "also"))
-    first = hits.groupBy("__s", "__m", "__t").agg(F.min_by(F.struct("value", "confidence"), "rank").alias("__first"))
-    return keyed.join(first, list(key), "left").select(*series.columns, F.col("__first.value").alias("value"), F.col("__first.confidence").alias("confidence"))
+    series has source and metric; text is what words are looked for in, in lower case.
+    Only the rules, grouped by source and metric, are sent around: rows stay where they are."""
+    some = lambda c: F.when(F.col(c) != "", F.split(c, r"\|")).otherwise(F.array())
+    rule = F.struct("rank", some("words").alias("words"), some("also").alias("also"), "value", "confidence")
+    grouped = table.where(F.col("gives") == gives).groupBy("source", "metric").agg(F.collect_list(rule).alias("rules"))
+    rows = series.withColumns({"__s": F.coalesce("source", F.lit("")), "__m": F.coalesce("metric", F.lit("")), "__t": F.lower(text)})
+    every, found = F.lit(ANY), []
+    for k, (s, m) in enumerate(((F.col("__s"), F.col("__m")), (F.col("__s"), every), (every, F.col("__m")), (every, every))):
+        own = F.broadcast(grouped.select(F.col("source").alias(f"__s{k}"), F.col("metric").alias(f"__m{k}"), F.col("rules").alias(f"__r{k}")))
+        rows = rows.withColumns({f"__a{k}": s, f"__b{k}": m}).join(own, (F.col(f"__a{k}") == F.col(f"__s{k}")) & (F.col(f"__b{k}") == F.col(f"__m{k}")), "left")
+        found.append(F.filter(F.coalesce(f"__r{k}", F.array()), lambda r: _holds("__t", r["words"]) & _holds("__t", r["also"])))
+    return rows.withColumn("__first", F.array_min(F.concat(*found))).select(*series.columns, F.col("__first.value").alias("value"), F.col("__first.confidence").alias("confidence"))
 
 
 def units(series: DataFrame, table: DataFrame | None = None) -> DataFrame:

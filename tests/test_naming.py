@@ -46,3 +46,13 @@ def test_own_rules(spark, rank):
 
 def test_empty(spark):
     assert naming.roles(spark.createDataFrame([], "source string, entity string, metric string, name string")).collect() == []
+
+
+def test_one_task_does_not_gather_the_series(spark):
+    """Rules for any source and metric concern every series: they come to the rows."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.lit("s").alias("source"), F.col("id").cast("string").alias("entity"), F.lit("m").alias("metric"), F.lit("Room").alias("name"))
+    df = df.repartition(8).withColumn("at", F.spark_partition_id())
+    moved = naming.roles(df).where(F.col("at") != F.spark_partition_id())
+    assert moved.count() == 0 and naming.roles(df).where("role = 'unknown'").count() == 20_000
