@@ -56,3 +56,14 @@ def test_one_task_does_not_gather_the_series(spark):
     df = df.repartition(8).withColumn("at", F.spark_partition_id())
     moved = naming.roles(df).where(F.col("at") != F.spark_partition_id())
     assert moved.count() == 0 and naming.roles(df).where("role = 'unknown'").count() == 20_000
+
+
+def test_resolved_roles_stay_with_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5_000).select("id", F.lit("s").alias("source"), F.col("id").cast("string").alias("entity"), F.lit("temp").alias("metric"), F.lit("Room").alias("name"))
+    df = df.repartition(6).withColumn("at", F.spark_partition_id())
+    found = naming.resolved(F.when(F.col("id") % 4 == 1, F.lit("linked")), F.when(F.col("id") % 6 == 1, F.lit("set")), F.lit(True))
+    rows = naming.roles(df).select((F.col("at") != F.spark_partition_id()).alias("moved"), found.alias("x"))
+    got = {r["x"]["provenance"]: (r["n"], r["moved"]) for r in rows.groupBy("x").agg(F.count("*").alias("n"), F.max("moved").alias("moved")).collect()}
+    assert got == {"config": (834, False), "link": (833, False), "heuristic": (3333, False)}
