@@ -109,8 +109,8 @@ def setting_changes(rows: DataFrame) -> DataFrame:
 
     def step(key, batches, state):
         series, out = run(key, batches, state)
-        frame = pd.DataFrame([(series, *r) for r in out], columns=["series", "us", "version", "was", "after_us"])
-        yield frame.astype({"was": "Int64", "after_us": "Int64"})
+        if out:  # a frame for each series costs more than its rows
+            yield pd.DataFrame([(series, *r) for r in out], columns=["series", "us", "version", "was", "after_us"], dtype=object)
 
     ours = F.when(F.col("ts").isNotNull(), F.col("version").isNotNull())
     found = rows.where(ours).select("series", "ts", F.unix_micros("ts").alias("us"), F.col("version").cast("long").alias("kind"))

@@ -126,3 +126,22 @@ def test_setting_changes_span_batches(spark, tmp_path):
     batches = [[(1, at(0), 5), (1, at(1), 5), (2, at(0), None)], [(1, at(2), 5), (1, at(0.5), 9), (2, at(2), 1)], [(1, at(3), 6), (1, at(4), 5)], [(1, at(1.5), 8), (3, at(30), None)]]
     got = changes_of(spark, tmp_path, batches)
     assert got == [(1, 0, 5, None, None), (1, 0.5, 9, 5, 0), (1, 1, 5, 9, 0.5), (1, 3, 6, 5, 2), (1, 4, 5, 6, 3), (2, 2, 1, None, None)]
+
+
+def test_series_without_output_make_no_frames(monkeypatch):
+    """A frame for each series and batch costs more than its rows: none where there is nothing to say."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    columns = MagicMock()
+    columns.col.return_value.__eq__ = lambda *_: columns.col.return_value
+    monkeypatch.setattr(state, "F", columns)
+    rows = MagicMock()
+    grouped = rows.where.return_value.select.return_value.groupBy.return_value
+    for make in (state.outages, state.setting_changes):
+        make(rows)
+        step = grouped.applyInPandasWithState.call_args[0][0]
+        kept = MagicMock(exists=False, hasTimedOut=False)
+        kept.getCurrentWatermarkMs.return_value = 0
+        assert list(step((1,), iter([pd.DataFrame({"us": [5], "kind": [1]})]), kept)) == []
