@@ -40,9 +40,12 @@ def _bounded(gram: np.ndarray, product: np.ndarray, prior: np.ndarray, low: floa
     ridge = np.maximum(1e-9, diagonal.mean(1) * 1e-5)
     rates = np.repeat(np.clip(prior, low, high)[:, None], gram.shape[1], axis=1)
     for _ in range(SWEEPS):
+        was = rates.copy()
         for k in range(gram.shape[1]):
             others = np.einsum("mk,mk->m", gram[:, k], rates) - gram[:, k, k] * rates[:, k]
             rates[:, k] = np.clip((ridge * prior + product[:, k] - others) / (diagonal[:, k] + ridge), low, high)
+        if (rates == was).all():  # all further sweeps would give the same
+            break
     return rates
 
 
@@ -58,10 +61,13 @@ def _fits(x: np.ndarray, volume: np.ndarray, rest: np.ndarray, flame: np.ndarray
     if parameters == 1:
         return np.repeat(mean[:, None], len(groups), axis=1), mean
     grouped = x @ groups
-    if any(_rank(grouped[d == 0]) < parameters for d in drop):
+    gone = np.zeros((1, parameters)) if out is None else grouped[out]
+    gram = np.einsum("rk,rl->kl", grouped, grouped) - gone[:, :, None] * gone[:, None, :]
+    spread = np.linalg.eigvalsh(gram)
+    unsure = spread[:, 0] <= 1e-8 * spread[:, -1]  # others are of full rank far beyond rounding
+    if any(_rank(grouped[d == 0]) < parameters for d in drop[unsure]):
         return None
     target = np.maximum(0.0, volume - rest * mean[:, None]) * (1 - drop)
-    gram = np.einsum("rk,rl->kl", grouped, grouped) - np.einsum("mr,rk,rl->mkl", drop, grouped, grouped)
     return _bounded(gram, target @ grouped, mean, low, high) @ groups.T, mean
 
 
