@@ -39,11 +39,12 @@ def _bounded(gram: np.ndarray, product: np.ndarray, prior: np.ndarray, low: floa
     diagonal = np.einsum("mkk->mk", gram)
     ridge = np.maximum(1e-9, diagonal.mean(1) * 1e-5)
     rates = np.repeat(np.clip(prior, low, high)[:, None], gram.shape[1], axis=1)
+    steps = [(k, gram[:, k], gram[:, k, k], ridge * prior + product[:, k], diagonal[:, k] + ridge) for k in range(gram.shape[1])]
     for _ in range(SWEEPS):
         was = rates.copy()
-        for k in range(gram.shape[1]):
-            others = np.einsum("mk,mk->m", gram[:, k], rates) - gram[:, k, k] * rates[:, k]
-            rates[:, k] = np.clip((ridge * prior + product[:, k] - others) / (diagonal[:, k] + ridge), low, high)
+        for k, row, own, top, below in steps:
+            others = np.einsum("mk,mk->m", row, rates) - own * rates[:, k]
+            rates[:, k] = np.minimum(np.maximum((top - others) / below, low), high)
         if (rates == was).all():  # all further sweeps would give the same
             break
     return rates
