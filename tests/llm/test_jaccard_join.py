@@ -103,6 +103,30 @@ def test_percent_and_link_counts(spark, monkeypatch):
     assert all(component[101 + 2 * i] == 100 + 2 * i for i in range(10))
 
 
+def _shuffled(spark):
+    """Bytes that the session has written to shuffles."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+
+def test_only_texts_of_pairs_move(spark):
+    """Of texts that meet no other none is shuffled."""
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{x:x}" for x in rng.integers(0, 2**62, n)]
+    rows = [(i, " ".join(word(1_000))) for i in range(400)]
+    rows += [(1_000, rows[7][1] + " tail"), (1_001, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = jaccard_join._nodes(docs)
+    needed = nodes.where("doc_id in (7, 1000)").select("node").distinct()
+    docs.cache().count()
+    before = _shuffled(spark)
+    found = jaccard_join._sets(docs, nodes, needed, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 80)
+    assert sum(n for s, n in _shuffled(spark).items() if s not in before) < sum(len(t) for _, t in rows) // 20
+    assert found.count() == 2 and found.distinct().count() == 2
+
+
 def test_empty(spark):
     assert jaccard_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
