@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from spanwise.llm import bitpack, packing
-from spanwise.llm.tokens import default_path, encoder
+from spanwise.llm.tokens import Encoder, default_path, encoder
 from spanwise.session import load
 from tokenizers import Tokenizer
 
@@ -105,3 +105,21 @@ def test_files(spark, sf_dir, monkeypatch, file_ids):
         at += len(x)
     assert got == want
     assert bitpack.read(bitpack.write(docs.limit(0))).collect() == []
+
+
+def test_plain_words_skip_the_pattern():
+    """A space and letters are one word of the pattern, which need not look for it."""
+    made = Encoder(default_path())
+
+    def find(piece):
+        raise AssertionError(piece)
+
+    made.find = find
+    text = " ".join(["Ein", "neues", "Wort", "straße", "ÉTÉ", "слово", "日本", "ªº", "ǅ", "zuletzt,", "Ende."])
+    assert np.frombuffer(made.encode(text), "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_beside_letters():
+    made = Encoder(default_path())
+    text = "x Ⅷ áb ñ x² ½ h‍t 'll can't _a a_b ́ e9 ١٢ \U0001f600 क्षि a﻿b ʼn"
+    assert np.frombuffer(made.encode(text), "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
