@@ -52,3 +52,32 @@ def test_empty(spark, sf_dir):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == []
+
+
+def test_stages_hold_little_memory(spark, sf_dir, monkeypatch):
+    """Stages run their Python work in small batches, in workers that give freed memory back."""
+    docs = load(spark, sf_dir, "documents").select(*p.COLUMNS).limit(30)
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    was = spark.conf.get(name)
+
+    def spied(module, call):
+        real = getattr(module, call)
+        monkeypatch.setattr(module, call, lambda *a, **b: (seen.append((call, spark.conf.get(name))), real(*a, **b))[1])
+
+    for module, call in ((p.quality_rules, "with_counts"), (p.jaccard_join, "representatives"), (p.substring_dedup, "dedup_documents"), (p.packing, "packed")):
+        spied(module, call)
+    for stage in (p.quality, p.near_duplicates, p.repeated_passages, p.pack):
+        left = stage(spark, docs, sf_dir)
+        assert "Pandas" not in left._jdf.queryExecution().executedPlan().toString() and spark.conf.get(name) == was
+    assert len(seen) == 4 and {rows for _, rows in seen} == {"1000"}
+
+    def told(batches):
+        import os
+
+        import pandas as pd
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pd.DataFrame({"threshold": [os.environ.get("MALLOC_TRIM_THRESHOLD_")], "pool": [pa.default_memory_pool().backend_name]})
+
+    assert {tuple(r) for r in spark.range(4).mapInPandas(told, "threshold string, pool string").collect()} == {(str(4 << 20), "system")}
