@@ -74,6 +74,23 @@ def test_classes_over_ranges(spark):
     assert len({r["rank"] for r in big}) == 1 and sum(r["lead"] for r in big) == 1 and sum(r["lead"] for r in small) == 1
 
 
+def test_windows_of_documents_together():
+    """Windows of documents in one batch are those of each alone, none crosses a seam."""
+    rng = np.random.default_rng(8)
+    raw = [bytes(rng.choice(list(b"abcd"), int(n)).tolist()) for n in rng.integers(40, 900, 30)]
+    marks = []
+    for r in raw:
+        n = len(suffix_dedup.Samples([r], 40).at)
+        marks.append(([k for k in range(n) if k % 25 != 3], None if n % 3 == 0 else [2 * k + k % 4 // 2 for k in range(0, n, 6)]))
+    *masks, found = suffix_dedup._states(raw, [m[0] for m in marks], [m[1] for m in marks], 40)
+    whole = [suffix_dedup._split(suffix_dedup._ranges(m), found.limits) for m in masks]
+    assert all(m.any() for m in masks)
+    for k, r in enumerate(raw):
+        *one, alone = suffix_dedup._states([r], [marks[k][0]], [marks[k][1]], 40)
+        assert [w[k] for w in whole] == [suffix_dedup._ranges(m).astype("<i4").tobytes() for m in one]
+        assert (found.h[found.first[k] : found.first[k + 1]] == alone.h).all() and not one[1][len(r) - 39 :].any()
+
+
 def test_given_documents(spark, sf_dir):
     rows = [tuple(r) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sum(r[2] > 0 for r in check(spark, rows)) > 5
