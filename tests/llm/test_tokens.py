@@ -124,3 +124,10 @@ def test_words_beside_letters():
     made = Encoder(default_path())
     text = "x Ⅷ áb ñ x² ½ h‍t 'll can't _a a_b ́ e9 ١٢ \U0001f600 क्षि a﻿b ʼn"
     assert np.frombuffer(made.encode(text), "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_is_kept_once():
+    made = Encoder(default_path())
+    text = "Ein Wort, noch eins"
+    assert made.encode(text) == np.array(made.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert {"Wort", "Wort,", "noch", "eins"} == set(made.next) and not {" Wort", " noch"} & set(made.words)
