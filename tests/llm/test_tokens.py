@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from spanwise.llm import bitpack, packing
 from spanwise.llm.tokens import Encoder, default_path, encoder
-from spanwise.session import load
+from spanwise.session import LEAN, load, materialize
 from tokenizers import Tokenizer
 
 RAW = Tokenizer.from_file(default_path())
@@ -131,3 +131,19 @@ def test_a_word_is_kept_once():
     text = "Ein Wort, noch eins"
     assert made.encode(text) == np.array(made.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert {"Wort", "Wort,", "noch", "eins"} == set(made.next) and not {" Wort", " noch"} & set(made.words)
+
+
+def test_files_are_written_by_lean_workers(spark, sf_dir, monkeypatch):
+    """The files are written in batches of 1,000 rows, by workers that give memory back."""
+    environment, seen = spark.sparkContext.environment, {}
+    for name in LEAN:
+        monkeypatch.delitem(environment, name, raising=False)
+
+    def written(df, label, **options):
+        seen.update(environment, rows=spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return materialize(df, label, **options)
+
+    monkeypatch.setattr(bitpack, "materialize", written)
+    found = bitpack.query(spark, sf_dir)
+    assert LEAN.items() <= seen.items() and seen["rows"] == "1000"
+    assert found.count() == load(spark, sf_dir, "documents").count()
