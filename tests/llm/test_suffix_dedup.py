@@ -94,3 +94,28 @@ def test_windows_of_documents_together():
 def test_given_documents(spark, sf_dir):
     rows = [tuple(r) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sum(r[2] > 0 for r in check(spark, rows)) > 5
+
+
+def test_ranks_move_as_blobs(spark):
+    """A round's ranks are a row a pair of buckets, and a class that all documents share is
+    sent once by each bucket of documents."""
+    rng = np.random.default_rng(9)
+    passage = prose(rng, 400)
+    docs = spark.createDataFrame([(k, f"{prose(rng, 9)} {passage}") for k in range(60)], "doc_id long, text string")
+    ranks = suffix_dedup.contexts(docs, 40).cache()
+    samples = sum(len(r["data"]) for r in ranks.collect()) // suffix_dedup._RANK.itemsize
+    assert samples > 60 * 60 and ranks.count() <= 12 * 4
+    met = suffix_dedup.pairs(ranks, 1).collect()
+    sent = np.concatenate([np.frombuffer(r["data"], suffix_dedup._PAIR) for r in met])
+    _, times = np.unique(sent["rank"][sent["weight"] != suffix_dedup._DONE], return_counts=True)
+    assert len(met) <= 4 * 4 and len(sent) > 60 * 30 and times.max() <= 4
+
+
+def test_samples_of_short_documents():
+    """Documents with no window, or one, between others have the samples that they have alone."""
+    rng = np.random.default_rng(10)
+    raw = [bytes(rng.choice(list(b"ab"), n).tolist()) for n in (3, 40, 0, 300, 41, 12)]
+    found = suffix_dedup.Samples(raw, 40)
+    for k, r in enumerate(raw):
+        own = slice(*found.first[k : k + 2])
+        assert (found.at[own] - found.limits[k]).tolist() == suffix_dedup.Samples([r], 40).at.tolist() if len(r) >= 40 else not len(found.at[own])
